@@ -54,9 +54,7 @@ def parse_period(text: str | Column) -> Column:
     clean = F.regexp_replace(_c(text), r"^\s+|\s+$", "")
 
     def part(i: int) -> Column:
-        return F.coalesce(F.expr("try_cast(null as int)"),
-                          F.nullif(F.regexp_extract(clean, PERIOD_PATTERN, i), F.lit("")).cast("int"),
-                          F.lit(0))
+        return F.coalesce(F.nullif(F.regexp_extract(clean, PERIOD_PATTERN, i), F.lit("")).cast("int"), F.lit(0))
 
     return F.when(clean.rlike(PERIOD_PATTERN),
                   F.struct(part(1).alias("year"), part(2).alias("quarter"), part(3).alias("month")))

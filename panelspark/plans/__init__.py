@@ -1,5 +1,5 @@
 """Panels derived from the test tables, and the registered queries over them."""
-from panelspark.plans import panel_queries  # noqa: F401
+from panelspark.plans import event_queries, ingest_queries, panel_queries  # noqa: F401
 from panelspark.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
