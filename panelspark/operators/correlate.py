@@ -139,16 +139,18 @@ def granger(growths: DataFrame, pairs: DataFrame | None = None, min_points: int
                   correlation("b1", "la").alias("_ba"), correlation("a1", "lb").alias("_ab"))
              .where(F.col("n") >= min_points))
 
-    def p_value(y_x: str, y_own: str) -> Column:
+    def f_statistic(y_x: str, y_own: str) -> Column:
         top = F.col(y_x) - F.col(y_own) * F.col("_lalb")
         below = (F.lit(1.0) - F.col(y_own) * F.col(y_own)) * (F.lit(1.0) - F.col("_lalb") * F.col("_lalb"))
         r2 = F.try_divide(top * top, F.nullif(F.greatest(below, F.lit(0.0)), F.lit(0.0)))
-        v = (F.col("n") - 4).cast("int")
-        f = F.try_divide(r2 * v, F.nullif(F.lit(1.0) - r2, F.lit(0.0)))
-        return F.when(f >= 0, f1_p(f, v))
-
-    return stats.select(*PAIR, "unit", "n", p_value("_ba", "_bb").alias("p_a_to_b"),
-                        p_value("_ab", "_aa").alias("p_b_to_a"))
+        f = F.try_divide(r2 * F.col("_v"), F.nullif(F.lit(1.0) - r2, F.lit(0.0)))
+        return F.when(f >= 0, f)
+
+    # columns of their own, so the p-value series do not re-evaluate them at every step
+    ready = (stats.withColumn("_v", (F.col("n") - 4).cast("int"))
+             .withColumn("_f_ab", f_statistic("_ba", "_bb")).withColumn("_f_ba", f_statistic("_ab", "_aa")))
+    return ready.select(*PAIR, "unit", "n", f1_p(F.col("_f_ab"), F.col("_v")).alias("p_a_to_b"),
+                        f1_p(F.col("_f_ba"), F.col("_v")).alias("p_b_to_a"))
 
 
 def fisher_combine(df: DataFrame, keys: list[str], p: str, name: str) -> DataFrame:

@@ -23,12 +23,19 @@ REGISTRY: dict[str, Query] = {}
 
 
 def rounded(df: DataFrame, columns: list[str], digits: int) -> DataFrame:
-    """Round float outputs: sums differ in the last bits with the order of addition."""
+    """Round float outputs: sums differ in the last bits with the order of addition.
+
+    Exact halves are nudged up first, since binary noise would send them either way.
+    """
     for name in columns:
-        df = df.withColumn(name, F.round(F.col(name), digits) + F.lit(0.0))
+        df = df.withColumn(name, F.round(F.col(name) + nudge(digits), digits) + F.lit(0.0))
     return df
 
 
+def nudge(digits: int) -> float:
+    return 10.0 ** -(digits + 3)
+
+
 def with_ctes(body: str) -> str:
     """Prefix the common table expressions a query needs, in definition order."""
     needed: set[str] = set()
@@ -60,7 +67,7 @@ def register(name: str, sql: str | None = None, floats: str = "", digits: int =
         if sql is not None:
             text = with_ctes(sql)
             if columns:
-                swaps = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
+                swaps = ", ".join(f"round({c} + {nudge(digits)!r}, {digits}) + 0.0 AS {c}" for c in columns)
                 text = f"SELECT * REPLACE ({swaps}) FROM (\n{text}\n)"
         REGISTRY[name] = Query(name, run, text)
         return fn
