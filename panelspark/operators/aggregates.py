@@ -9,6 +9,7 @@ from panelspark.functions.ranking import cumulative_counts, medians_from_counts
 from panelspark.operators.views import unit_code
 from panelspark.panel import Panel
 from panelspark.schema import LEVEL_COUNTRY, PROFILE_INDICATORS
+from panelspark.session import cut_lineage
 
 
 def latest(df: DataFrame, annual: bool = False) -> DataFrame:
@@ -88,8 +89,10 @@ def headline(latest_df: DataFrame, indicators: Sequence[str] = PROFILE_INDICATOR
 
     One indicator may hold a third of all units, so ranks and medians come from
     bucketed counts; only units with exactly equal values are ordered together.
+    The rows are read several times, hence checkpointed.
     """
-    rows = latest_df.where(F.col("indicator").isin(list(indicators)) & F.col("value").isNotNull())
+    rows = cut_lineage(latest_df.where(F.col("indicator").isin(list(indicators)) & F.col("value").isNotNull())
+                       .select("unit", "indicator", "value", "value_unit", "period"))
     counts = cumulative_counts(rows, ["indicator"], "value")
     medians = medians_from_counts(counts, ["indicator"], "value").select("indicator", "median")
     ties = Window.partitionBy("indicator", "value").orderBy("unit")
@@ -116,6 +119,7 @@ def movers(df: DataFrame, levels: DataFrame, years: int = 10, min_peers: int = 5
                     F.min("value_unit").alias("value_unit"),
                     (F.max_by("value", when) - F.min_by("value", when)).alias("change"))
                .where(F.col("from_year") < F.col("to_year")))
+    changes = cut_lineage(changes)      # read twice: to count peers and to score
     counts = (cumulative_counts(changes, ["indicator"], "change")
               .where(F.col("n_total") >= min_peers)
               .withColumn("pct", (F.col("n_less") + (F.col("n_ties") + 1) / 2.0) / F.col("n_total"))

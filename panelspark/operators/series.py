@@ -5,7 +5,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelspark.functions.periods import decimal_year, period_ix, period_label
+from panelspark.functions.periods import decimal_year, period_label
+from panelspark.functions.ranking import group_median
 from panelspark.operators.views import unit_code
 from panelspark.panel import Panel
 from panelspark.schema import PanelLookupError
@@ -151,8 +152,6 @@ def trends(frame: DataFrame, indicators: Sequence[str], *, start: int | None = N
 
     ``frame`` is (unit, indicator, year, value).
     """
-    from panelspark.functions.ranking import group_median
-
     wanted = sorted(set(indicators))
     rows = frame.where(F.col("indicator").isin(wanted))
     if start is not None:
@@ -161,17 +160,15 @@ def trends(frame: DataFrame, indicators: Sequence[str], *, start: int | None = N
         rows = rows.where(F.col("year") <= end)
     medians = (group_median(rows, ["indicator", "year"], "value")
                .withColumnRenamed("n_total", "n_countries"))
-    first = (medians.groupBy("year").agg(F.count(F.lit(1)).alias("_k"))
-             .where(F.col("_k") == len(wanted)).agg(F.min("year")))
-    out = (medians.withColumn("base_year", first.scalar())
+    # from here on there is one row per indicator and year
+    covered = F.count(F.lit(1)).over(Window.partitionBy("year")) == len(wanted)
+    out = (medians.withColumn("_covered", covered)
+           .withColumn("base_year", F.min(F.when(F.col("_covered"), F.col("year"))).over(Window.partitionBy(F.lit(0))))
            .where(F.col("base_year").isNotNull()))
-    if not rebased:
-        return out.select("indicator", "year", F.col("median").alias("value"), "n_countries", "base_year")
-    base = (out.where(F.col("year") == F.col("base_year"))
-            .select("indicator", F.nullif("median", F.lit(0.0)).alias("_base")))
-    return out.join(base, "indicator").select(
-        "indicator", "year", (F.col("median") / F.col("_base") * 100.0).alias("value"),
-        "n_countries", "base_year")
+    if rebased:
+        base = F.max(F.when(F.col("year") == F.col("base_year"), F.col("median"))).over(Window.partitionBy("indicator"))
+        out = out.withColumn("median", F.try_divide("median", F.nullif(base, F.lit(0.0))) * 100.0)
+    return out.select("indicator", "year", F.col("median").alias("value"), "n_countries", "base_year")
 
 
 def observation_matrix(df: DataFrame, indicators: Sequence[str]) -> DataFrame:
@@ -204,10 +201,6 @@ def kpi(df: DataFrame) -> DataFrame:
             .drop("_prev"))
 
 
-def with_period_ix(df: DataFrame) -> DataFrame:
-    return df.withColumn("period_ix", period_ix())
-
-
 def years_clause(start: int | None, end: int | None) -> Column:
     cond = F.lit(True)
     if start is not None:

@@ -58,38 +58,42 @@ def provenance(current: DataFrame, source: DataFrame, indicator: DataFrame,
     """Every source's latest value per period, repeats collapsed, with ``is_best``.
 
     The marked row is the most reliable one; source id, then value, break ties.
+    Copies collapse before the window, so a period's group holds one row per
+    source (more only if a source contradicts itself within a vintage).
     """
-    src = source.select(F.col("id").alias("source_id"), F.col("name").alias("source"),
-                        "reliability_score")
+    return _named_provenance(_ranked_sources(current, source), indicator, geography)
+
+
+def source_disagreements(current: DataFrame, source: DataFrame, indicator: DataFrame,
+                         geography: DataFrame) -> DataFrame:
+    """Provenance rows of periods where at least two sources report different values."""
+    group = Window.partitionBy(*BEST_KEY)
+
+    def differ(col: str) -> Column:
+        return F.min(col).over(group) != F.max(col).over(group)
+
+    ranked = (_ranked_sources(current, source)
+              .withColumn("_differ", differ("source_id") & differ("value")).where("_differ").drop("_differ"))
+    return _named_provenance(ranked, indicator, geography)
+
+
+def _ranked_sources(current: DataFrame, source: DataFrame) -> DataFrame:
+    src = source.select(F.col("id").alias("source_id"), F.col("name").alias("source"), "reliability_score")
+    w = (Window.partitionBy(*BEST_KEY)
+         .orderBy(F.desc("reliability_score"), "source_id", "value", F.col("unit").asc_nulls_last()))
+    return (current.select(*SOURCE_KEY, "value", "unit").distinct().join(src, "source_id")
+            .withColumn("is_best", F.row_number().over(w) == 1))
+
+
+def _named_provenance(ranked: DataFrame, indicator: DataFrame, geography: DataFrame) -> DataFrame:
     ind = indicator.select(F.col("id").alias("indicator_id"), F.col("name").alias("indicator"),
                            F.col("unit").alias("_default_unit"))
-    geo = unit_code(geography).select(F.col("id").alias("geography_id"), "unit")
-    rows = (current.withColumnRenamed("unit", "_unit")
-            .join(src, "source_id").join(ind, "indicator_id").join(geo, "geography_id")
-            .select("unit", "indicator", "year", period_label().alias("period"),
-                    decimal_year().alias("t"), "source", "source_id", "value",
-                    F.coalesce("_unit", "_default_unit").alias("value_unit"), "reliability_score")
-            .distinct())
-    top = (rows.groupBy("unit", "indicator", "period")
-           .agg(F.min(F.struct((-F.col("reliability_score")).alias("s"), "source_id", "value",
-                               "value_unit")).alias("_top")))
-    is_best = ((F.col("source_id") == F.col("_top.source_id"))
-               & F.col("value").eqNullSafe(F.col("_top.value"))
-               & F.col("value_unit").eqNullSafe(F.col("_top.value_unit")))
-    return rows.join(top, ["unit", "indicator", "period"]).select(
-        "unit", "indicator", "period", "year", "t", "source", "value", "value_unit",
-        "reliability_score", is_best.alias("is_best"))
-
-
-def source_disagreements(prov: DataFrame) -> DataFrame:
-    """Provenance rows of periods where at least two sources report different values."""
-    key = ["unit", "indicator", "period"]
-    split = (prov.groupBy(*key)
-             .agg(F.min("source").alias("_s0"), F.max("source").alias("_s1"),
-                  F.min("value").alias("_v0"), F.max("value").alias("_v1"))
-             .where((F.col("_s0") != F.col("_s1")) & (F.col("_v0") != F.col("_v1")))
-             .select(*key))
-    return prov.join(split, key, "left_semi")
+    geo = unit_code(geography).select(F.col("id").alias("geography_id"), F.col("unit").alias("_code"))
+    return (ranked.join(ind, "indicator_id").join(geo, "geography_id")
+            .select(F.col("_code").alias("unit"), "indicator", period_label().alias("period"), "year",
+                    decimal_year().alias("t"), "source", "value",
+                    F.coalesce(F.col("unit"), F.col("_default_unit")).alias("value_unit"),
+                    "reliability_score", "is_best"))
 
 
 def annualize(df: DataFrame, keys: tuple[str, ...] = ("unit", "indicator")) -> DataFrame:

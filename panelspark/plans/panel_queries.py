@@ -39,7 +39,7 @@ def _(spark, sf_dir):
 
 @register("v2_best_source", f"SELECT {_FACTS} FROM best")
 def _(spark, sf_dir):
-    return tables.panel(spark, sf_dir).best.select(FACT_COLS)
+    return tables.panel(spark, sf_dir, stored_best=False).best.select(FACT_COLS)
 
 
 @register("v3_as_of", f"""
@@ -50,16 +50,12 @@ def _(spark, sf_dir):
     return views.as_of(tables.records(spark, sf_dir), "1998-06-30").select(FACT_COLS)
 
 
-def _provenance(spark, sf_dir):
-    p = tables.panel(spark, sf_dir)
-    return views.provenance(p.current, p.source, p.indicator, p.geography)
-
-
 @register("v4_provenance", """
     SELECT unit, indicator, period, year, t, source, value, value_unit, reliability_score, is_best FROM prov""",
     floats="t")
 def _(spark, sf_dir):
-    return _provenance(spark, sf_dir)
+    p = tables.panel(spark, sf_dir)
+    return views.provenance(p.current, p.source, p.indicator, p.geography)
 
 
 @register("v5_source_disagreements", """
@@ -68,7 +64,8 @@ def _(spark, sf_dir):
       SELECT (unit, indicator, period) FROM prov GROUP BY unit, indicator, period
       HAVING count(DISTINCT source) >= 2 AND count(DISTINCT value) >= 2)""")
 def _(spark, sf_dir):
-    return views.source_disagreements(_provenance(spark, sf_dir)).select(
+    p = tables.panel(spark, sf_dir)
+    return views.source_disagreements(p.current, p.source, p.indicator, p.geography).select(
         "unit", "indicator", "period", "source", "value", "is_best")
 
 
@@ -392,13 +389,13 @@ def _(spark, sf_dir):
                        + (count(*) OVER (PARTITION BY indicator, change) - 1) / 2.0)
                       / count(*) OVER (PARTITION BY indicator) AS pct,
                    count(*) OVER (PARTITION BY indicator) AS peers FROM chg),
-    picked AS (SELECT unit, arg_max(struct_pack(i := indicator, c := change, p := pct), (pct, indicator)) AS top,
+    ends AS (SELECT unit, arg_max(struct_pack(i := indicator, c := change, p := pct), (pct, indicator)) AS top,
                       arg_min(struct_pack(i := indicator, c := change, p := pct), (pct, indicator)) AS bottom
                FROM pct WHERE peers >= 5 GROUP BY unit)
     SELECT unit, CASE WHEN top.c > 0 THEN top.i END AS rising, CASE WHEN top.c > 0 THEN top.c END AS rise,
            CASE WHEN top.c > 0 THEN round(top.p * 100) END AS rise_percentile,
            CASE WHEN bottom.c < 0 THEN bottom.i END AS falling, CASE WHEN bottom.c < 0 THEN bottom.c END AS fall,
-           CASE WHEN bottom.c < 0 THEN round(bottom.p * 100) END AS fall_percentile FROM picked""",
+           CASE WHEN bottom.c < 0 THEN round(bottom.p * 100) END AS fall_percentile FROM ends""",
     floats="rise fall")
 def _(spark, sf_dir):
     p = tables.panel(spark, sf_dir)
