@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.functions.text import contains_ci
 from panelspark.operators.views import unit_code
@@ -92,9 +92,10 @@ def resolve_names(asked: DataFrame, column: str, dim: DataFrame, match_on: Seque
     """Adds ``id`` by case-insensitive match on any of ``match_on``; names that
     match nothing get up to ``k`` close names instead.
 
-    Closeness is 1 - levenshtein / longer length. Candidates are found through
-    shared two-letter pieces, not by comparing everything with everything: two
-    names that share none cannot be close.
+    Closeness is 1 - levenshtein / longer length; names without a common
+    two-letter piece (word ends count) are not close. ``suggest_from`` is a
+    catalog: candidates are found through the pieces, and only unknown names
+    are compared with it.
     """
     keys = dim.select("id", F.explode(F.array_distinct(F.array_compact(F.array(
         *[F.lower(F.col(c)) for c in match_on])))).alias("_key"))
@@ -121,10 +122,10 @@ def _suggestions(unknown: DataFrame, column: str, pool: DataFrame, k: int, cutof
     longer = F.greatest(F.length("_key"), F.length("_name"))
     score = F.lit(1.0) - F.levenshtein(F.col("_key"), F.lower("_name")) / longer
     pairs = left.join(right, "_piece").select(column, "_key", "_name").distinct().withColumn("_score", score)
-    best = (pairs.where(F.col("_score") >= cutoff)
-            .groupBy(column).agg(F.slice(F.array_sort(F.collect_list(
-                F.struct((-F.col("_score")).alias("s"), F.col("_name").alias("n")))), 1, k).alias("_top")))
-    return best.select(column, F.transform("_top", lambda s: s["n"]).alias("suggestions"))
+    w = Window.partitionBy(column).orderBy(F.desc("_score"), "_name")
+    best = pairs.where(F.col("_score") >= cutoff).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    return best.groupBy(column).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_rn", "_name"))), lambda s: s["_name"]).alias("suggestions"))
 
 
 def register_views(panel: Panel) -> None:

@@ -6,6 +6,8 @@ Partial aggregation folds the years before the shuffle.
 """
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.functions.ranking import benjamini_hochberg
@@ -178,13 +180,21 @@ def direction(relationship: Column, p_ab: Column, p_ba: Column, alpha: float = G
             .otherwise("undetermined"))
 
 
+class Mined(NamedTuple):
+    """Surviving edges, and the per-unit evidence behind them as rows."""
+
+    edges: DataFrame
+    evidence: DataFrame
+
+
 def mine_edges(growths: DataFrame, *, alpha: float = FDR_ALPHA, min_points: int = MIN_POINTS,
-               min_units: int = MIN_UNITS, evidence: bool = True) -> DataFrame:
+               min_units: int = MIN_UNITS) -> Mined:
     """Pairs whose strongest pooled relationship survives FDR over all pairs, with
-    leader and follower where causality confirms one, and per-unit evidence.
+    leader and follower where causality confirms one.
 
     The per-unit correlations and the tested pairs are checkpointed: both are
-    read more than once, and ranks need one fixed set of p-values.
+    read more than once, and ranks need one fixed set of p-values. Evidence
+    stays in rows, one per edge and unit; ``nest_evidence`` packs it per edge.
     """
     per_unit = cut_lineage(unit_lag_correlations(growths, min_points))
     tested = select_lag(fisher_pool(per_unit, [*PAIR, "test"]).where(F.col("n_units") >= min_units))
@@ -199,16 +209,19 @@ def mine_edges(growths: DataFrame, *, alpha: float = FDR_ALPHA, min_points: int
                          .when(F.col("direction") == "b_leads_a", b))
              .withColumn("follower", F.when(F.col("direction") == "a_leads_b", b)
                          .when(F.col("direction") == "b_leads_a", a)))
-    if not evidence:
-        return edges
-    # one entry per unit of the catalog, and only for surviving edges
-    winners = per_unit.join(significant.select(*PAIR, F.col("relationship").alias("test")), [*PAIR, "test"], "left_semi")
-    rows = winners.join(detail.select(*PAIR, "unit", "p_a_to_b", "p_b_to_a"), [*PAIR, "unit"], "left")
-    per_unit_rows = rows.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct(
-        "unit", F.col("test").alias("relationship"), F.round("r", 4).alias("correlation"),
+    winners = per_unit.join(significant.select(*PAIR, F.col("relationship").alias("test")), [*PAIR, "test"],
+                            "left_semi")
+    evidence = winners.join(detail.select(*PAIR, "unit", "p_a_to_b", "p_b_to_a"), [*PAIR, "unit"], "left").select(
+        *PAIR, "unit", F.col("test").alias("relationship"), F.round("r", 4).alias("correlation"),
         F.col("n").alias("n_years"), F.col("p_a_to_b").alias("granger_p_a_to_b"),
-        F.col("p_b_to_a").alias("granger_p_b_to_a")))).alias("per_unit"))
-    return edges.join(per_unit_rows, PAIR, "left")
+        F.col("p_b_to_a").alias("granger_p_b_to_a"))
+    return Mined(edges, evidence)
+
+
+def nest_evidence(evidence: DataFrame) -> DataFrame:
+    """Evidence as one array per edge: for panels whose units are a catalog, such as countries."""
+    item = F.struct("unit", "relationship", "correlation", "n_years", "granger_p_a_to_b", "granger_p_b_to_a")
+    return evidence.groupBy(*PAIR).agg(F.array_sort(F.collect_list(item)).alias("per_unit"))
 
 
 def edge_listing(edges: DataFrame, indicator_domains: DataFrame, indicator: str | None = None) -> DataFrame:

@@ -103,11 +103,15 @@ def annualize(df: DataFrame, keys: tuple[str, ...] = ("unit", "indicator")) -> D
 
 def unit_year_frame(best: DataFrame, geography: DataFrame, indicator: DataFrame,
                     level: str | None = None) -> DataFrame:
-    """(unit, indicator, year, value): the annual frame the statistics run on."""
+    """(unit, indicator, year, value): the annual frame the statistics run on.
+
+    Averages are taken on the ids, so the dimensions meet one row per year.
+    """
     geo = unit_code(geography)
     if level is not None:
         geo = geo.where(F.col("level") == level)
     geo = geo.select(F.col("id").alias("geography_id"), "unit")
     ind = indicator.select(F.col("id").alias("indicator_id"), F.col("name").alias("indicator"))
-    return annualize(best.select("geography_id", "indicator_id", "year", "value")
-                     .join(geo, "geography_id").join(ind, "indicator_id"))
+    facts = best.select("geography_id", "indicator_id", "year", "value")
+    return (annualize(facts, ("geography_id", "indicator_id")).join(geo, "geography_id").join(ind, "indicator_id")
+            .select("unit", "indicator", "year", "value"))

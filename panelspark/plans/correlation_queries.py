@@ -245,8 +245,9 @@ _EDGE_COLS = ["indicator_a", "indicator_b", "relationship", "weight", "p_value",
       AND u.indicator_b = m.indicator_b AND u.test = m.relationship) AS n_evidence FROM mined m""",
     floats="weight p_value q_value")
 def _(spark, sf_dir):
-    return cor.mine_edges(growths(spark, sf_dir)).select(
-        *_EDGE_COLS, F.size("per_unit").cast("long").alias("n_evidence"))
+    mined = cor.mine_edges(growths(spark, sf_dir))
+    evidence = mined.evidence.groupBy(*cor.PAIR).agg(F.count(F.lit(1)).alias("n_evidence"))
+    return mined.edges.join(evidence, cor.PAIR).select(*_EDGE_COLS, "n_evidence")
 
 
 def brand_domains(spark, sf_dir):
@@ -263,7 +264,7 @@ def brand_domains(spark, sf_dir):
            n_units
     FROM mined JOIN dom da ON da.b = indicator_a JOIN dom db ON db.b = indicator_b""", floats="weight q_value")
 def _(spark, sf_dir):
-    edges = cor.mine_edges(growths(spark, sf_dir), evidence=False)
+    edges = cor.mine_edges(growths(spark, sf_dir)).edges
     return cor.edge_listing(edges, brand_domains(spark, sf_dir))
 
 
@@ -273,7 +274,7 @@ def _(spark, sf_dir):
     floats="correlation p_value q_value")
 def _(spark, sf_dir):
     g = growths(spark, sf_dir)
-    return cor.local_correlations(g, cor.mine_edges(g, evidence=False))
+    return cor.local_correlations(g, cor.mine_edges(g).edges)
 
 
 @register("c14_correlation_matrix", f"""

@@ -84,7 +84,7 @@ def _(spark, sf_dir):
 
 
 def _mined(spark, sf_dir):
-    return cor.mine_edges(growths(spark, sf_dir), evidence=False)
+    return cor.mine_edges(growths(spark, sf_dir)).edges
 
 
 @register("n3_correlation_edges", """
@@ -201,7 +201,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Every unit's own correlations, every indicator as a source."""
     g = growths(spark, sf_dir)
-    local = (cor.local_correlations(g, cor.mine_edges(g, evidence=False), limit=None)
+    local = (cor.local_correlations(g, cor.mine_edges(g).edges, limit=None)
              .withColumnRenamed("correlation", "weight").withColumn("direction", F.lit("undetermined")))
     sources = tables.brand_frame(spark, sf_dir).select("unit", F.col("indicator").alias("source")).distinct()
     return gr.propagate(local, sources, max_hops=2, edge_floor=0.5, by=["unit"]).select(

@@ -28,6 +28,7 @@ CLOSED_SOURCE = 3
 CUSTOMER_OFFSET = 1000
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
+_PANELS: dict[tuple[str, str, bool], Panel] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -163,6 +164,13 @@ def source(spark: SparkSession) -> DataFrame:
 
 def panel(spark: SparkSession, sf_dir: str, stored_best: bool = True) -> Panel:
     """The panel; its best view is stored too, unless the view itself is to be computed."""
+    key = (spark.sparkContext.applicationId, sf_dir, stored_best)
+    if key not in _PANELS:
+        _PANELS[key] = _build_panel(spark, sf_dir, stored_best)
+    return _PANELS[key]
+
+
+def _build_panel(spark: SparkSession, sf_dir: str, stored_best: bool) -> Panel:
     p = Panel(records=records(spark, sf_dir), geography=geography(spark, sf_dir),
               indicator=indicator(spark), domain=domain(spark), source=source(spark),
               bloc=bloc(spark, sf_dir), geography_bloc=geography_bloc(spark, sf_dir),

@@ -121,14 +121,20 @@ def flatten_jsonstat(payloads: DataFrame, column: str = "payload") -> DataFrame:
             stride.alias("stride"), F.element_at("_c.size", position).alias("size"),
             _index_codes(F.element_at("_c.dimension", name)["category"]["index"]).alias("codes")))
 
-    def code(dim: str) -> Column:
-        place = F.pmod(F.expr(f"_flat div {dim}.stride"), F.col(f"{dim}.size"))
+    def code(dim: str, flat: Column) -> Column:
+        ahead = F.col(f"{dim}.stride")
+        place = F.pmod((flat - F.pmod(flat, ahead)) / ahead, F.col(f"{dim}.size"))
         return F.get(F.col(f"{dim}.codes"), place.cast("int"))
 
+    def cell(entry: Column) -> Column:
+        flat = entry["key"].cast("long")
+        return F.struct(code("_geo", flat).alias("geo"), code("_time", flat).alias("TIME_PERIOD"),
+                        entry["value"].alias("value"))
+
+    # cells are named before they are exploded, so the code lists are not copied to every row
     return (cube.withColumn("_geo", axis("geo")).withColumn("_time", axis("time"))
-            .select(*keep, "_geo", "_time", F.explode("_c.value").alias("_key", "value"))
-            .withColumn("_flat", F.col("_key").cast("long"))
-            .select(*keep, code("_geo").alias("geo"), code("_time").alias("TIME_PERIOD"), "value"))
+            .select(*keep, F.explode(F.transform(F.map_entries("_c.value"), cell)).alias("_cell"))
+            .select(*keep, "_cell.*"))
 
 
 def normalize_cube(rows: DataFrame, geo_map: DataFrame, indicator_code: str | Column, *,

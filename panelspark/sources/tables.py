@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,6 +29,13 @@ def write_records(records: DataFrame, root: str, mode: str = "append") -> None:
     records.write.mode(mode).partitionBy("indicator_id").parquet(f"{root.rstrip('/')}/statistic_record")
 
 
+def store_best(panel: Panel, path: str) -> Panel:
+    """Write the best view by indicator and read it back: for panels whose view
+    is asked often, so that it is computed once per refresh and prunes by indicator."""
+    panel.best.write.mode("overwrite").partitionBy("indicator_id").parquet(path)
+    return replace(panel, _views={**panel._views, "best": panel.spark.read.parquet(path)})
+
+
 def upsert_dim(old: DataFrame, new: DataFrame, key: Sequence[str], update: Sequence[str]) -> DataFrame:
     """Insert rows of ``new`` whose key is absent; on present keys refresh the
     ``update`` columns where ``new`` has a value, and keep the rest."""

@@ -93,17 +93,20 @@ def _planted(spark, lead: int = 1):
 
 
 def test_planted_lead_is_found(spark):
-    edges = cor.mine_edges(ser.growth(_planted(spark), scale=1.0)).collect()
+    mined = cor.mine_edges(ser.growth(_planted(spark), scale=1.0))
+    edges = mined.edges.collect()
     assert [(e["indicator_a"], e["indicator_b"]) for e in edges] == [("alpha", "beta")]
     e = edges[0]
     assert e["weight"] > .7 and e["relationship"] == "a_leads_b" and e["direction"] == "a_leads_b"
     assert e["leader"] == "alpha" and e["follower"] == "beta" and e["n_units"] == 5
-    assert len(e["per_unit"]) == 5 and e["q_value"] >= e["p_value"]
+    assert e["q_value"] >= e["p_value"] and mined.evidence.count() == 5
+    nested = cor.nest_evidence(mined.evidence).first()["per_unit"]
+    assert [u["unit"] for u in nested] == list("ABCDE") and nested[0]["granger_p_a_to_b"] < .05
 
 
 def test_reverse_lead_names_the_follower(spark):
     renamed = _planted(spark).withColumn("indicator", F.translate("indicator", "ab", "za"))
-    edges = cor.mine_edges(ser.growth(renamed, scale=1.0), evidence=False).collect()
+    edges = cor.mine_edges(ser.growth(renamed, scale=1.0)).edges.collect()
     assert [e["direction"] for e in edges] == ["b_leads_a"] and edges[0]["leader"] == edges[0]["indicator_b"]
 
 
@@ -156,6 +159,6 @@ def test_convergence_closed_form(spark):
 def test_local_correlations_cover_surviving_pairs_only(spark):
     frame = _planted(spark)
     growths = ser.growth(frame)
-    edges = cor.mine_edges(ser.growth(frame, scale=1.0), evidence=False)
+    edges = cor.mine_edges(ser.growth(frame, scale=1.0)).edges
     local = cor.local_correlations(growths, edges).collect()
     assert {(r["indicator_a"], r["indicator_b"]) for r in local} == {("alpha", "beta")} and len(local) == 5
