@@ -8,6 +8,7 @@ from panelspark.operators import correlate as cor, forecast as fc, graph as gr,
 from panelspark.plans import tables
 from panelspark.plans.correlation_queries import growths
 from panelspark.plans.registry import register
+from panelspark.plans.sql_forecast import forecast_sql
 from panelspark.plans.sql_tables import CTES
 
 CTES.update({
@@ -102,12 +103,32 @@ def _(spark, sf_dir):
     return gr.degree_centrality(_nodes(spark, sf_dir), _edges(spark, sf_dir))
 
 
-@register("n5_communities")
+def _label_rounds(rounds: int) -> str:
+    """Label propagation unrolled: one pair of expressions per round."""
+    text = """WITH ends AS (SELECT DISTINCT least((src_type, src_ref), (dst_type, dst_ref)) AS a,
+                         greatest((src_type, src_ref), (dst_type, dst_ref)) AS b FROM g_edges),
+        vertex AS (SELECT (node_type, ref_id) AS node, id FROM nodes),
+        near AS (SELECT a AS node, b AS other FROM ends WHERE a <> b UNION ALL SELECT b, a FROM ends WHERE a <> b),
+        links AS (SELECT * FROM near UNION ALL SELECT node, node FROM vertex),
+        lab0 AS MATERIALIZED (SELECT node, id AS community FROM vertex)"""
+    for i in range(1, rounds + 1):
+        text += f""", lab{i} AS MATERIALIZED (SELECT node, arg_min(community, (-n, community)) AS community FROM (
+            SELECT l.node, p.community, count(*) AS n FROM links l JOIN lab{i - 1} p ON p.node = l.other GROUP BY ALL)
+            GROUP BY node)"""
+    return text
+
+
+@register("n5_communities", _label_rounds(5) + """
+    SELECT node_type, ref_id, community FROM lab5 JOIN nodes n ON (n.node_type, n.ref_id) = lab5.node""")
 def _(spark, sf_dir):
     return gr.communities(_nodes(spark, sf_dir), _edges(spark, sf_dir), iterations=5)
 
 
-@register("n5_modularity")
+@register("n5_modularity", _label_rounds(5) + """,
+    per AS (SELECT x.community AS c, count(*) AS deg, count(*) FILTER (x.community = y.community) AS inner_deg
+            FROM near JOIN lab5 x ON x.node = near.node JOIN lab5 y ON y.node = near.other GROUP BY ALL)
+    SELECT sum(inner_deg / t - (deg / t) * (deg / t)) AS modularity
+    FROM per, (SELECT sum(deg)::DOUBLE AS t FROM per)""", floats="modularity")
 def _(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     return gr.modularity(gr.communities(_nodes(spark, sf_dir), edges, iterations=5), edges)
@@ -156,7 +177,7 @@ def _propagated(spark, sf_dir):
     return gr.propagate(_mined(spark, sf_dir), _sources(spark, sf_dir), **_SHOCK)
 
 
-@register("n9_propagate", """
+_WALK = """
     WITH RECURSIVE walk AS (
       SELECT DISTINCT p_brand AS source, p_brand AS node, 0 AS hop, 1.0::DOUBLE AS activation, [p_brand] AS path,
              true AS directed FROM part
@@ -164,20 +185,33 @@ def _propagated(spark, sf_dir):
       SELECT w.source, a.dst, w.hop + 1, w.activation * a.weight * 0.9, list_append(w.path, a.dst),
              w.directed AND a.directed
       FROM walk w JOIN pooled_arcs a ON a.src = w.node
-      WHERE w.hop < 3 AND abs(w.activation * a.weight * 0.9) >= 0.001)
-    SELECT source, node, hop, activation, directed FROM (
-      SELECT w.* FROM walk w JOIN stems s ON s.name = w.source JOIN stems n ON n.name = w.node
-      WHERE w.node <> w.source AND NOT starts_with(s.stem, n.stem) AND NOT starts_with(n.stem, s.stem))
-    QUALIFY row_number() OVER (PARTITION BY source, node ORDER BY abs(activation) DESC, hop, path) = 1""",
+      WHERE w.hop < 3 AND abs(w.activation * a.weight * 0.9) >= 0.001),
+    reached AS (
+      SELECT w.*, n.stem FROM walk w JOIN stems s ON s.name = w.source JOIN stems n ON n.name = w.node
+      WHERE w.node <> w.source AND NOT starts_with(s.stem, n.stem) AND NOT starts_with(n.stem, s.stem)
+      QUALIFY row_number() OVER (PARTITION BY w.source, w.node ORDER BY abs(activation) DESC, hop, path) = 1)"""
+
+
+@register("n9_propagate", _WALK + " SELECT source, node, hop, activation, directed FROM reached",
           floats="activation", digits=9)
 def _(spark, sf_dir):
     """A shock to every indicator at once."""
     return _propagated(spark, sf_dir).select("source", "node", "hop", "activation", "directed")
 
 
-@register("n10_collapse_variants")
+@register("n10_collapse_variants", _WALK + """,
+    queue AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY hop, -abs(activation), node) AS i FROM reached),
+    fold AS (
+      SELECT source, i, [stem] AS kept, true AS taken FROM queue WHERE i = 1
+      UNION ALL
+      SELECT q.source, q.i, CASE WHEN clash THEN kept ELSE list_append(kept, q.stem) END, NOT clash
+      FROM (SELECT q.source, q.i, q.stem, f.kept,
+                   len(list_filter(f.kept, lambda k: starts_with(k, q.stem) OR starts_with(q.stem, k))) > 0 AS clash
+            FROM fold f JOIN queue q ON q.source = f.source AND q.i = f.i + 1) q)
+    SELECT q.source, q.node, q.hop, q.activation, array_to_string(q.path, ' → ') AS path
+    FROM queue q JOIN fold f ON f.source = q.source AND f.i = q.i AND f.taken""", floats="activation", digits=9)
 def _(spark, sf_dir):
-    return gr.collapse_variants(_propagated(spark, sf_dir))
+    return gr.collapse_variants(_propagated(spark, sf_dir)).select("source", "node", "hop", "activation", "path")
 
 
 @register("n11_propagate_per_unit", """
@@ -308,11 +342,14 @@ def _(spark, sf_dir):
     return fc.backtest(_series(spark, sf_dir)).where("model in ('drift', 'linear', 'seasonal_naive')")
 
 
-@register("f8_forecast")
+_FORECAST_FLOATS = "t value lo hi backtest_mae"
+
+
+@register("f8_forecast", forecast_sql(5, 0.8, with_history=False), floats=_FORECAST_FLOATS, digits=2)
 def _(spark, sf_dir):
     return fc.forecast(_series(spark, sf_dir)).where("kind = 'forecast'")
 
 
-@register("f9_history_and_forecast")
+@register("f9_history_and_forecast", forecast_sql(8, 0.95, with_history=True), floats=_FORECAST_FLOATS, digits=2)
 def _(spark, sf_dir):
     return fc.forecast(_series(spark, sf_dir), horizon=8, level=0.95)

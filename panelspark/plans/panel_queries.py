@@ -174,15 +174,35 @@ def _(spark, sf_dir):
         "name", "domain", "api_code", F.coalesce("records", F.lit(0)).alias("records"))
 
 
-@register("p10_resolve_names")
-def _(spark, sf_dir):
-    """Customer names in mixed case resolve; part names do not and get suggestions."""
+def _pieces(x: str) -> str:
+    return (f"list_transform(range(1, CAST(length({x}) AS BIGINT) + 2), "
+            f"lambda i: substr('^' || {x} || '$', CAST(i AS INTEGER), 2))")
+
+
+@register("p10_resolve_names", f"""
+    WITH asked AS (SELECT DISTINCT upper(c_name) AS asked FROM customer
+                   UNION SELECT DISTINCT 'nation_' || s_nationkey || 'x' FROM supplier),
+    found AS (SELECT a.asked, min(g.id) AS id FROM asked a LEFT JOIN geography g
+              ON lower(a.asked) IN (lower(g.iso3), lower(g.iso2), lower(g.name), lower(g.code)) GROUP BY ALL),
+    pool AS (SELECT code AS name FROM geography WHERE level = 'country'
+             UNION SELECT name FROM geography WHERE level = 'country'),
+    pairs AS (SELECT f.asked, p.name, 1 - levenshtein(lower(f.asked), lower(p.name))
+                       / greatest(length(f.asked), length(p.name))::DOUBLE AS score
+              FROM found f, pool p WHERE f.id IS NULL
+               AND list_has_any({_pieces('lower(f.asked)')}, {_pieces('lower(p.name)')})),
+    top AS (SELECT asked, string_agg(name, '|' ORDER BY rn) AS suggestions
+            FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, name) AS rn
+                  FROM pairs WHERE score >= 0.4) WHERE rn <= 3 GROUP BY asked)
+    SELECT f.asked, f.id, coalesce(t.suggestions, '') AS suggestions FROM found f LEFT JOIN top t USING (asked)""")
+def _(spark, sf_dir):
+    """Customer names in upper case resolve; misspelt nations get suggestions."""
     geo = tables.geography(spark, sf_dir)
     asked = (tables.table(spark, sf_dir, "customer").select(F.upper("c_name").alias("asked"))
              .unionByName(tables.table(spark, sf_dir, "supplier").select(
                  F.concat(F.lit("nation_"), F.col("s_nationkey"), F.lit("x")).alias("asked"))))
-    return cat.resolve_names(asked, "asked", geo, ["iso3", "iso2", "name", "code"],
-                             suggest_from=geo.where("level = 'country'"), suggest_cols=["code", "name"])
+    out = cat.resolve_names(asked, "asked", geo, ["iso3", "iso2", "name", "code"],
+                            suggest_from=geo.where("level = 'country'"), suggest_cols=["code", "name"])
+    return out.withColumn("suggestions", F.array_join("suggestions", "|"))
 
 
 @register("p11_panel_stats", """
@@ -379,7 +399,7 @@ def _(spark, sf_dir):
     return agg.headline(_latest(spark, sf_dir), _HEADLINE).withColumn("rank", F.col("rank").cast("long"))
 
 
-@register("a11_movers", """
+_MOVERS = """
     WITH win AS (SELECT s.* FROM srs s JOIN geo g ON g.u = s.unit
                  WHERE g.level = 'country' AND s.year >= (SELECT max(year) FROM srs) - 10),
     chg AS (SELECT unit, indicator, min(year) AS from_year, max(year) AS to_year,
@@ -391,7 +411,10 @@ def _(spark, sf_dir):
                    count(*) OVER (PARTITION BY indicator) AS peers FROM chg),
     ends AS (SELECT unit, arg_max(struct_pack(i := indicator, c := change, p := pct), (pct, indicator)) AS top,
                       arg_min(struct_pack(i := indicator, c := change, p := pct), (pct, indicator)) AS bottom
-               FROM pct WHERE peers >= 5 GROUP BY unit)
+               FROM pct WHERE peers >= 5 GROUP BY unit)"""
+
+
+@register("a11_movers", _MOVERS + """
     SELECT unit, CASE WHEN top.c > 0 THEN top.i END AS rising, CASE WHEN top.c > 0 THEN top.c END AS rise,
            CASE WHEN top.c > 0 THEN round(top.p * 100) END AS rise_percentile,
            CASE WHEN bottom.c < 0 THEN bottom.i END AS falling, CASE WHEN bottom.c < 0 THEN bottom.c END AS fall,
@@ -407,11 +430,34 @@ def _(spark, sf_dir):
         down["change"].alias("fall"), down["percentile"].alias("fall_percentile"))
 
 
-@register("a12_profiles")
-def _(spark, sf_dir):
+@register("a12_profiles", _MOVERS + f""",
+    heads AS (SELECT unit, string_agg(indicator || ' ' || rank || '/' || n, '; ' ORDER BY indicator) AS headline FROM (
+        SELECT unit, indicator, row_number() OVER (PARTITION BY indicator ORDER BY value DESC, unit) AS rank,
+               count(*) OVER (PARTITION BY indicator) AS n FROM latest WHERE indicator IN {_HEADLINE}) GROUP BY unit),
+    spans AS (SELECT geography_id, string_agg(b.code || ' ' || since_year || coalesce('-' || until_year, ''), '; '
+                ORDER BY since_year, b.code) AS blocs
+              FROM geography_bloc gb JOIN bloc b ON b.id = gb.bloc_id GROUP BY geography_id),
+    stats AS (SELECT unit, count(DISTINCT indicator) AS n_indicators, max(year) AS last_year FROM srs GROUP BY unit)
+    SELECT g.u AS unit, g.iso2, g.name, blocs, headline, coalesce(n_indicators, 0) AS n_indicators, last_year,
+           CASE WHEN top.c > 0 THEN top.i END AS rising, CASE WHEN bottom.c < 0 THEN bottom.i END AS falling
+    FROM geo g LEFT JOIN spans ON spans.geography_id = g.id LEFT JOIN heads ON heads.unit = g.u
+    LEFT JOIN ends ON ends.unit = g.u LEFT JOIN stats ON stats.unit = g.u""")
+def _(spark, sf_dir):
+    """The nested profile row of every unit, its arrays printed for comparison."""
     p = tables.panel(spark, sf_dir)
     rows = ser.series(p)
-    return agg.profiles(p, rows, agg.latest(rows), indicators=_HEADLINE)
+    nested = agg.profiles(p, rows, agg.latest(rows), indicators=_HEADLINE)
+
+    def listed(col, item):
+        return F.when(F.col(col).isNotNull(), F.array_join(F.transform(col, item), "; "))
+
+    return nested.select(
+        "unit", "iso2", "name",
+        listed("blocs", lambda b: F.concat(b["code"], F.lit(" "), b["since_year"], F.coalesce(
+            F.concat(F.lit("-"), b["until_year"]), F.lit("")))).alias("blocs"),
+        listed("headline", lambda h: F.concat(h["indicator"], F.lit(" "), h["rank"], F.lit("/"), h["of"])).alias("headline"),
+        "n_indicators", "last_year", F.col("fastest_rising.indicator").alias("rising"),
+        F.col("fastest_falling.indicator").alias("falling"))
 
 
 @register("a13_region_map", """
