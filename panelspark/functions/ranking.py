@@ -36,6 +36,21 @@ def cumulative_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame
             .select(*groups, value, "n_ties", "n_less", "n_total"))
 
 
+def tie_positions(df: DataFrame, groups: list[str], code: str, prefix: int = 5) -> DataFrame:
+    """Adds ``position``: 1, 2, ... by ``code`` within each group of equal rows.
+
+    A third of all rows may tie, so a group is split by the first letters of the
+    code, which keep its order, and offset by the counts of the prefixes before.
+    """
+    rows = df.withColumn("_prefix", F.substring(code, 1, prefix))
+    before = Window.partitionBy(*groups).orderBy("_prefix")
+    offsets = (rows.groupBy(*groups, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+               .select(*groups, "_prefix", (F.sum("_n").over(before) - F.col("_n")).alias("_before")))
+    inside = Window.partitionBy(*groups, "_prefix").orderBy(code)
+    return (rows.withColumn("_inside", F.row_number().over(inside)).join(offsets, [*groups, "_prefix"])
+            .withColumn("position", F.col("_before") + F.col("_inside")).drop("_prefix", "_before", "_inside"))
+
+
 def medians_from_counts(counts: DataFrame, groups: list[str], value: str,
                         name: str = "median") -> DataFrame:
     """Exact median and size per group from ``cumulative_counts``."""

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelspark.functions.ranking import cumulative_counts, medians_from_counts
+from panelspark.functions.ranking import cumulative_counts, medians_from_counts, tie_positions
 from panelspark.operators.views import unit_code
 from panelspark.panel import Panel
 from panelspark.schema import LEVEL_COUNTRY, PROFILE_INDICATORS
@@ -87,17 +87,16 @@ def populated_indicators(panel: Panel) -> DataFrame:
 def headline(latest_df: DataFrame, indicators: Sequence[str] = PROFILE_INDICATORS) -> DataFrame:
     """Value, rank (high to low, unit code breaks ties), field size and median.
 
-    One indicator may hold a third of all units, so ranks and medians come from
-    bucketed counts; only units with exactly equal values are ordered together.
-    The rows are read several times, hence checkpointed.
+    One indicator may hold a third of all units, and a third of those the same
+    value, so ranks and medians come from bucketed counts. The rows are read
+    several times, hence checkpointed.
     """
     rows = cut_lineage(latest_df.where(F.col("indicator").isin(list(indicators)) & F.col("value").isNotNull())
                        .select("unit", "indicator", "value", "value_unit", "period"))
     counts = cumulative_counts(rows, ["indicator"], "value")
     medians = medians_from_counts(counts, ["indicator"], "value").select("indicator", "median")
-    ties = Window.partitionBy("indicator", "value").orderBy("unit")
-    rank = F.col("n_total") - F.col("n_less") - F.col("n_ties") + F.row_number().over(ties)
-    return (rows.join(counts, ["indicator", "value"]).join(medians, "indicator")
+    rank = F.col("n_total") - F.col("n_less") - F.col("n_ties") + F.col("position")
+    return (tie_positions(rows, ["indicator", "value"], "unit").join(counts, ["indicator", "value"]).join(medians, "indicator")
             .select("unit", "indicator", "value", "value_unit", "period", rank.alias("rank"),
                     F.col("n_total").alias("of"), "median"))
 
@@ -125,7 +124,7 @@ def movers(df: DataFrame, levels: DataFrame, years: int = 10, min_peers: int = 5
               .withColumn("pct", (F.col("n_less") + (F.col("n_ties") + 1) / 2.0) / F.col("n_total"))
               .select("indicator", "change", "pct"))
     scored = changes.join(counts, ["indicator", "change"])
-    fact = F.struct("indicator", "change", F.round(F.col("pct") * 100.0).alias("percentile"),
+    fact = F.struct("indicator", "change", F.bround(F.col("pct") * 100.0).alias("percentile"),
                     F.col("value_unit").alias("unit"), "from_year", "to_year")
     picked = scored.groupBy("unit").agg(
         F.max_by(fact, F.struct(F.col("pct"), F.col("indicator"))).alias("top"),

@@ -416,9 +416,9 @@ _MOVERS = """
 
 @register("a11_movers", _MOVERS + """
     SELECT unit, CASE WHEN top.c > 0 THEN top.i END AS rising, CASE WHEN top.c > 0 THEN top.c END AS rise,
-           CASE WHEN top.c > 0 THEN round(top.p * 100) END AS rise_percentile,
+           CASE WHEN top.c > 0 THEN round_even(top.p * 100, 0) END AS rise_percentile,
            CASE WHEN bottom.c < 0 THEN bottom.i END AS falling, CASE WHEN bottom.c < 0 THEN bottom.c END AS fall,
-           CASE WHEN bottom.c < 0 THEN round(bottom.p * 100) END AS fall_percentile FROM ends""",
+           CASE WHEN bottom.c < 0 THEN round_even(bottom.p * 100, 0) END AS fall_percentile FROM ends""",
     floats="rise fall")
 def _(spark, sf_dir):
     p = tables.panel(spark, sf_dir)
