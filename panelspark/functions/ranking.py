@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelspark.session import cut_lineage
+
 BUCKETS_PER_OCTAVE = 256
 
 
@@ -21,10 +23,14 @@ def value_bucket(value: Column) -> Column:
 
 
 def cumulative_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """Per (group, distinct value): ``n_ties``, ``n_less``, ``n_total``."""
-    distinct = (df.where(F.col(value).isNotNull()).groupBy(*groups, value)
-                .agg(F.count(F.lit(1)).alias("n_ties"))
-                .withColumn("_bucket", value_bucket(F.col(value))))
+    """Per (group, distinct value): ``n_ties``, ``n_less``, ``n_total``.
+
+    The counted values are written out first: they are read twice, and a value that
+    came out of a sum could differ in its last bit when computed again.
+    """
+    distinct = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*groups, value)
+                           .agg(F.count(F.lit(1)).alias("n_ties"))
+                           .withColumn("_bucket", value_bucket(F.col(value))))
     in_order = Window.partitionBy(*groups).orderBy("_bucket")
     offsets = (distinct.groupBy(*groups, "_bucket").agg(F.sum("n_ties").alias("_n"))
                .select(*groups, "_bucket",
@@ -75,8 +81,10 @@ def benjamini_hochberg(df: DataFrame, p: str, q: str = "q_value") -> DataFrame:
 
     q(p) is the smallest p' * m / rank(p') over p' >= p, so it depends on
     distinct p-values only. The reverse running minimum is taken inside each
-    bucket and against the minima of the buckets above.
+    bucket and against the minima of the buckets above. Rows find their q by
+    their p, so ``df`` is written out first.
     """
+    df = cut_lineage(df)
     counts = (cumulative_counts(df.withColumn("_all", F.lit(0)), ["_all"], p)
               .select(F.col(p).alias("_p"), (F.col("n_less") + F.col("n_ties")).alias("_rank"),
                       F.col("n_total").alias("_m"))

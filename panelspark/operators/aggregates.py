@@ -89,7 +89,7 @@ def headline(latest_df: DataFrame, indicators: Sequence[str] = PROFILE_INDICATOR
 
     One indicator may hold a third of all units, and a third of those the same
     value, so ranks and medians come from bucketed counts. The rows are read
-    several times, hence checkpointed.
+    several times, hence written out first.
     """
     rows = cut_lineage(latest_df.where(F.col("indicator").isin(list(indicators)) & F.col("value").isNotNull())
                        .select("unit", "indicator", "value", "value_unit", "period"))

@@ -192,13 +192,12 @@ def mine_edges(growths: DataFrame, *, alpha: float = FDR_ALPHA, min_points: int
     """Pairs whose strongest pooled relationship survives FDR over all pairs, with
     leader and follower where causality confirms one.
 
-    The per-unit correlations and the tested pairs are checkpointed: both are
-    read more than once, and ranks need one fixed set of p-values. Evidence
-    stays in rows, one per edge and unit; ``nest_evidence`` packs it per edge.
+    The per-unit correlations are written out, because evidence reads them
+    again; so are the tested pairs, in ``bh_fdr``. Evidence stays in rows, one per edge and unit; ``nest_evidence`` packs it per edge.
     """
     per_unit = cut_lineage(unit_lag_correlations(growths, min_points))
     tested = select_lag(fisher_pool(per_unit, [*PAIR, "test"]).where(F.col("n_units") >= min_units))
-    significant = bh_fdr(cut_lineage(tested)).where(F.col("q_value") <= alpha)
+    significant = bh_fdr(tested).where(F.col("q_value") <= alpha)
     lagged = significant.where(F.col("relationship") != LAG_TESTS[0])
     detail = granger(growths, lagged, min_points)
     a, b = F.col("indicator_a"), F.col("indicator_b")

@@ -113,7 +113,7 @@ def communities(nodes: DataFrame, edges: DataFrame, iterations: int = 10) -> Dat
     Every node starts with its own id and repeatedly takes the label most common
     among its neighbours and itself; the smallest label wins ties. Votes are
     counted by partial aggregation, so hubs do not gather their neighbours in
-    one task, and every round is checkpointed.
+    one task, and every round is written out.
     """
     ids = nodes.select(F.struct(F.col("node_type").alias("t"), F.col("ref_id").alias("r")).alias("node"), "id")
     links = cut_lineage(_neighbours(edges).join(ids.select("node"), "node", "left_semi")

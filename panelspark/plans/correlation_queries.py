@@ -6,7 +6,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from panelspark.functions.stats import pearson_stats, correlation
-from panelspark.operators import convergence as conv, correlate as cor, series as ser
+from panelspark.operators import catalog as cat, convergence as conv, correlate as cor, series as ser, views
 from panelspark.plans import tables
 from panelspark.plans.registry import register
 from panelspark.plans.sql_tables import CTES
@@ -205,10 +205,7 @@ def _(spark, sf_dir):
 
 @register("c7_bh_fdr", "SELECT indicator_a, indicator_b, p_value, q_value FROM fdr", floats="p_value q_value")
 def _(spark, sf_dir):
-    from panelspark.session import cut_lineage
-
-    tested = cut_lineage(cor.select_lag(cor.pooled_lags(growths(spark, sf_dir))))
-    return cor.bh_fdr(tested).select(*cor.PAIR, "p_value", "q_value")
+    return cor.bh_fdr(cor.select_lag(cor.pooled_lags(growths(spark, sf_dir)))).select(*cor.PAIR, "p_value", "q_value")
 
 
 @register("c8_granger", "SELECT * FROM gr", floats="p_a_to_b p_b_to_a")
@@ -284,17 +281,13 @@ def _(spark, sf_dir):
                    FROM obs a JOIN obs b ON a.unit = b.unit AND a.year = b.year GROUP BY ALL)
     WHERE n >= 30 AND r IS NOT NULL""", floats="r")
 def _(spark, sf_dir):
-    from panelspark.operators.views import annualize
-
-    return cor.correlation_matrix(annualize(ser.series(tables.panel(spark, sf_dir))))
+    return cor.correlation_matrix(views.annualize(ser.series(tables.panel(spark, sf_dir))))
 
 
 # --- convergence --------------------------------------------------------------
 def _annual(spark, sf_dir):
-    from panelspark.operators.views import unit_year_frame
-
     p = tables.panel(spark, sf_dir)
-    return unit_year_frame(p.best, p.geography, p.indicator)
+    return views.unit_year_frame(p.best, p.geography, p.indicator)
 
 
 @register("g1_beta_scatter", "SELECT * FROM scatter",
@@ -309,10 +302,8 @@ def _(spark, sf_dir):
       WHERE b.code = 'B2')""", floats="initial_value final_value annualized_growth log_initial")
 def _(spark, sf_dir):
     """One bloc's members, former ones included."""
-    from panelspark.operators.catalog import bloc_members
-
     p = tables.panel(spark, sf_dir)
-    members = bloc_members(p.bloc, p.geography_bloc, p.geography).where("bloc = 'B2'")
+    members = cat.bloc_members(p.bloc, p.geography_bloc, p.geography).where("bloc = 'B2'")
     return conv.beta_scatter(_annual(spark, sf_dir), units=members)
 
 

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +12,6 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -32,7 +32,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints.
+    """The shared folder for intermediate tables.
 
     ``spark.checkpoint.dir`` (or a directory set on the context) wins. Only a
     local master may fall back to a temporary folder: on a cluster, executors
@@ -55,6 +55,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, for iterative operators."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, read back from a table written to the checkpoint folder.
+
+    Later steps scan only the columns they need, with real sizes to plan by, and
+    an executor lost meanwhile costs no recomputation. The table lives as long
+    as the folder's contents do.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/panelspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
