@@ -2,7 +2,8 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8). Each query
 is run BENCH_RUNS times (default 2) to a sink that discards rows; its figure is the best run.
-``panel_build`` is the derivation of the fact table, which the other queries reuse.
+``panel_build`` is the derivation of the fact table, ``stored_views_build`` that of the
+best view, brand frame and event table: the other queries read them as stored tables.
 """
 from __future__ import annotations
 
@@ -37,6 +38,10 @@ def main() -> None:
     start = time.perf_counter()
     discard(tables.records(spark, sf_dir))
     times["panel_build"] = round(time.perf_counter() - start, 3)
+    start = time.perf_counter()
+    for view in (tables.panel(spark, sf_dir).best, tables.brand_frame(spark, sf_dir), tables.events(spark, sf_dir)):
+        discard(view)
+    times["stored_views_build"] = round(time.perf_counter() - start, 3)
     for name in names:
         best = None
         for _ in range(runs):

@@ -177,7 +177,9 @@ def _build_panel(spark: SparkSession, sf_dir: str, stored_best: bool) -> Panel:
               event=events(spark, sf_dir))
     if not stored_best:
         return p
-    best = stored(spark, sf_dir, "best", lambda: panel(spark, sf_dir, stored_best=False).best)
+    # its own column order, so that the stored copy never stands in for the view when that is asked itself
+    best = stored(spark, sf_dir, "best", lambda: panel(spark, sf_dir, stored_best=False).best.select(
+        *sorted(p.records.columns)))
     return replace(p, _views={"best": best})
 
 
