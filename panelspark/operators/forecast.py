@@ -24,8 +24,6 @@ MAX_ORIGINS = 5
 HOLT = (0.5, 0.3)
 HOLT_WINTERS = (0.4, 0.1, 0.3)
 MODELS = ("drift", "linear", "log_linear", "holt", "seasonal_naive", "holt_winters")
-DISCLAIMER = ("This extends the past pattern with a simple statistical model and an empirical band. "
-              "It is not a prediction: it cannot foresee shocks, policy changes or turning points.")
 
 
 def series_rows(df: DataFrame, keys: Sequence[str] = ("unit", "indicator")) -> DataFrame:
@@ -271,7 +269,11 @@ def backtest(df: DataFrame, keys: Sequence[str] = ("unit", "indicator")) -> Data
 
 def forecast(df: DataFrame, keys: Sequence[str] = ("unit", "indicator"), horizon: int = 5,
              level: float = 0.8) -> DataFrame:
-    """History and forecast rows of every series, with the chosen model's facts as columns."""
+    """History and forecast rows of every series, with the chosen model's facts as columns.
+
+    This extends the past pattern with a simple model and an empirical band. It
+    is no prediction: it cannot foresee shocks, policy changes or turning points.
+    """
     if horizon < 1:
         raise ValueError("horizon must be >= 1")
     if not 0 < level < 1:

@@ -168,7 +168,7 @@ def test_coverage_and_profile(make_panel):
     rows += [(c, UNEMP, 4, y, -v * (y - 2000)) for v, c in enumerate(("DEU", "FRA", "ITA", "ESP", "GBR"), 1)
              for y in (2010, 2020)]
     data = PanelData(make_panel(rows))
-    cover = {r["indicator"]: r for r in data.coverage(2026).collect()}
+    cover = {r["indicator"]: r for r in data.coverage(as_of_year=2026).collect()}
     assert cover["GDP"]["rows"] == 10 and cover["GDP"]["countries"] == 5 and cover["GDP"]["years_stale"] == 6
     assert cover["Alpha"]["rows"] == 0 and cover["Alpha"]["last_year"] is None
     gbr = data.country_profile("GB").first()
