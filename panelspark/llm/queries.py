@@ -1,7 +1,7 @@
 """One query per operator, over its whole table."""
 from __future__ import annotations
 
-from panelspark.llm import quality_rules
+from panelspark.llm import minhash, quality_rules
 from panelspark.llm.common import table
 from panelspark.llm.registry import QUERIES, SQL, query
 from panelspark.llm.sql import OP1
@@ -15,3 +15,9 @@ def op1(spark, sf_dir):
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "lost_chars", "kept")
+
+
+@query("op3_minhash_dedup")
+def op3(spark, sf_dir):
+    """Near-duplicate component of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
