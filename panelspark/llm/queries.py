@@ -1,7 +1,7 @@
 """One query per operator, over its whole table."""
 from __future__ import annotations
 
-from panelspark.llm import minhash, quality_rules
+from panelspark.llm import decontaminate, minhash, mixing, quality_rules, secrets
 from panelspark.llm.common import table
 from panelspark.llm.registry import QUERIES, SQL, query
 from panelspark.llm.sql import OP1
@@ -21,3 +21,21 @@ def op1(spark, sf_dir):
 def op3(spark, sf_dir):
     """Near-duplicate component of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_mixing")
+def op5(spark, sf_dir):
+    """Words that the mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op8_secret_scan")
+def op8(spark, sf_dir):
+    """Secrets of every document."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op9_decontaminate")
+def op9(spark, sf_dir):
+    """Documents that hold benchmark items."""
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
