@@ -1,7 +1,7 @@
 """One query per operator, over its whole table."""
 from __future__ import annotations
 
-from panelspark.llm import decontaminate, minhash, mixing, quality_rules, secrets
+from panelspark.llm import decontaminate, minhash, mixing, pii, quality_rules, secrets
 from panelspark.llm.common import table
 from panelspark.llm.registry import QUERIES, SQL, query
 from panelspark.llm.sql import OP1
@@ -39,3 +39,9 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     """Documents that hold benchmark items."""
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_pii")
+def op7(spark, sf_dir):
+    """Personal data of every document."""
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
