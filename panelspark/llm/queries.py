@@ -1,7 +1,7 @@
 """One query per operator, over its whole table."""
 from __future__ import annotations
 
-from panelspark.llm import decontaminate, minhash, mixing, pii, quality_rules, secrets
+from panelspark.llm import decontaminate, minhash, mixing, pii, quality_rules, secrets, warc
 from panelspark.llm.common import table
 from panelspark.llm.registry import QUERIES, SQL, query
 from panelspark.llm.sql import OP1
@@ -45,3 +45,10 @@ def op9(spark, sf_dir):
 def op7(spark, sf_dir):
     """Personal data of every document."""
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+@query("op10_warc")
+def op10(spark, sf_dir):
+    """Every page's record, written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
