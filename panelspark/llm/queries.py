@@ -1,10 +1,11 @@
 """One query per operator, over its whole table."""
 from __future__ import annotations
 
-from panelspark.llm import decontaminate, minhash, mixing, pii, quality_rules, secrets, warc
+from panelspark.llm import (decontaminate, minhash, mixing, pii, quality_model, quality_rules, secrets,
+                            url_filter, warc)
 from panelspark.llm.common import table
 from panelspark.llm.registry import QUERIES, SQL, query
-from panelspark.llm.sql import OP1
+from panelspark.llm.sql import OP1, OP6
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -52,3 +53,17 @@ def op10(spark, sf_dir):
     """Every page's record, written to archives and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_url_filter", OP6)
+def op6(spark, sf_dir):
+    """Verdict on every page's url."""
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
+@query("op2_quality_classifier")
+def op2(spark, sf_dir):
+    """Expected grade and selection of every document, by a model fitted on the labels."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.train(docs, quality_model.grade_labels(table(spark, sf_dir, "labels")))
+    return quality_model.score(docs, model)

@@ -1,7 +1,7 @@
 """DuckDB SQL of the registered queries that SQL can express."""
 from __future__ import annotations
 
-from panelspark.llm import quality_rules as rules
+from panelspark.llm import quality_rules as rules, url_filter as urls
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,3 +47,24 @@ OP1 = f"""WITH {RULES_CTES}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars,
        NOT base_failed AND 100 * lost_chars <= {rules.MAX_LOST_PERCENT} * word_chars AS kept
 FROM ruled"""
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_URL_RULES = ", ".join(f"('{r.name}', '{r.verdict}', '{r.name.partition('/')[0]}', '/{r.name.partition('/')[2]}')"
+                       for r in urls.HOST_RULES)
+_URL_WORDS = ", ".join(f"('{r.name}', '{'[.-]'.join(r.tokens)}')" for r in urls.WORD_RULES)
+
+OP6 = rf"""WITH cut AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN contains(url, '://')
+    THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT rid, page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM cut),
+split AS (SELECT rid, page_id, translate(h, '{_UPPER}', '{_UPPER.lower()}') AS host,
+    regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM parts),
+rules(rule, verdict, rh, rp) AS (VALUES {_URL_RULES}),
+best AS (SELECT rid, rule, rules.verdict FROM split JOIN rules
+    ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+    QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(rule) DESC) = 1),
+words(word, body) AS (VALUES {_URL_WORDS}),
+hit AS (SELECT rid, min(word) AS word FROM split JOIN words
+    ON regexp_matches(host, '(^|[.-])' || body || '($|[^a-z0-9])') GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN word IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+       CASE WHEN rule IS NULL THEN word END AS pattern
+FROM split LEFT JOIN best USING (rid) LEFT JOIN hit USING (rid)"""
