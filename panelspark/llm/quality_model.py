@@ -22,7 +22,8 @@ MAX_LABELLED = 10_000      # rated documents of a fit
 BITS = 18                  # hashed features: 2**BITS
 GRADES = 3
 THRESHOLD = 0.5            # tail probability from which a document is kept
-EPOCHS, BATCH, RATE, DECAY = 25, 64, 0.15, 1e-6
+MIN_DOCS = 8               # rated documents that must hold a feature before it gets a weight
+EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.15, 5e-3
 _CACHE = 500_000
 _MARKS = bytes.maketrans(bytes(c for c in range(33, 128) if not chr(c).isalnum()),
                          b" " * sum(not chr(c).isalnum() for c in range(33, 128)))
@@ -95,6 +96,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> Model:
     count = np.bincount(grades, minlength=GRADES) if len(grades) else np.ones(GRADES)
     weight = np.sqrt(count.sum() / (GRADES * np.maximum(count, 1)))
     order = np.random.default_rng(7)
+    held = np.zeros(1 << BITS, np.int64)
+    for where, _ in rows:
+        held[np.unique(where)] += 1
+    rows = [(where[held[where] >= MIN_DOCS], value[held[where] >= MIN_DOCS]) for where, value in rows]
     for _ in range(EPOCHS if rows else 0):
         for batch in np.array_split(order.permutation(len(rows)), max(1, len(rows) // BATCH)):
             cuts = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
