@@ -1,7 +1,7 @@
 """One query per operator, over its whole table."""
 from __future__ import annotations
 
-from panelspark.llm import (decontaminate, minhash, mixing, pii, quality_model, quality_rules, secrets,
+from panelspark.llm import (decontaminate, html_text, minhash, mixing, pii, quality_model, quality_rules, secrets,
                             url_filter, warc)
 from panelspark.llm.common import table
 from panelspark.llm.registry import QUERIES, SQL, query
@@ -67,3 +67,10 @@ def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality_model.train(docs, quality_model.grade_labels(table(spark, sf_dir, "labels")))
     return quality_model.score(docs, model)
+
+
+@query("op4_html_text")
+def op4(spark, sf_dir):
+    """Main text of every page, by a labeller trained on some of them."""
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages))
