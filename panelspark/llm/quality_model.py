@@ -24,6 +24,7 @@ GRADES = 3
 THRESHOLD = 0.5            # tail probability from which a document is kept
 MIN_DOCS = 8               # rated documents that must hold a feature before it gets a weight
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.15, 5e-3
+MIN_STEPS = 1500           # a small sample is read more often
 _CACHE = 500_000
 _MARKS = bytes.maketrans(bytes(c for c in range(33, 128) if not chr(c).isalnum()),
                          b" " * sum(not chr(c).isalnum() for c in range(33, 128)))
@@ -100,7 +101,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> Model:
     for where, _ in rows:
         held[np.unique(where)] += 1
     rows = [(where[held[where] >= MIN_DOCS], value[held[where] >= MIN_DOCS]) for where, value in rows]
-    for _ in range(EPOCHS if rows else 0):
+    epochs = max(EPOCHS, -(-MIN_STEPS * BATCH // max(1, len(rows))))
+    for _ in range(min(epochs, MIN_STEPS) if rows else 0):
         for batch in np.array_split(order.permutation(len(rows)), max(1, len(rows) // BATCH)):
             cuts = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
             where = np.concatenate([rows[r][0] for r in batch])
