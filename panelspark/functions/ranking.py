@@ -1,10 +1,10 @@
 """Ranks, medians and running minima over groups of any size.
 
 A plain ``Window.partitionBy(group).orderBy(value)`` sends one whole group to
-one task, and one group may hold a third of the table. Here the value axis is
-cut into narrow buckets by a fixed monotone function of the value alone. Equal
-values collapse to one counted row before the shuffle, each bucket is ordered
-in its own task, and bucket offsets are added from a small per-bucket table.
+one task, and one group may hold a third of the table. Here equal values
+collapse to one counted row, the rows are dealt out by ranges of (group, value)
+that follow the data's own distribution, each range is ordered in its own task,
+and the counts of the ranges before are added from a small per-range table.
 """
 from __future__ import annotations
 
@@ -12,14 +12,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.session import cut_lineage
 
-BUCKETS_PER_OCTAVE = 256
+def _in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """The rows, written out in ranges of ``order``, with the range's number as ``_part``.
 
-
-def value_bucket(value: Column) -> Column:
-    """Monotone bucket of a finite double: 256 per doubling, sign aware."""
-    magnitude = F.greatest(F.abs(value), F.lit(1e-300))
-    index = F.floor((F.log2(magnitude) + 1000.0) * BUCKETS_PER_OCTAVE).cast("long")
-    return (F.when(value == 0, F.lit(0)).when(value > 0, index).otherwise(-index)).cast("long")
+    They are written because the numbers must not change between two readings.
+    """
+    return cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
 
 
 def cumulative_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
@@ -28,33 +26,36 @@ def cumulative_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame
     The counted values are written out first: they are read twice, and a value that
     came out of a sum could differ in its last bit when computed again.
     """
-    distinct = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*groups, value)
-                           .agg(F.count(F.lit(1)).alias("n_ties"))
-                           .withColumn("_bucket", value_bucket(F.col(value))))
-    in_order = Window.partitionBy(*groups).orderBy("_bucket")
-    offsets = (distinct.groupBy(*groups, "_bucket").agg(F.sum("n_ties").alias("_n"))
-               .select(*groups, "_bucket",
+    return _counts(df, groups, value).drop("_part")
+
+
+def _counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    distinct = _in_ranges(df.where(F.col(value).isNotNull()).groupBy(*groups, value)
+                          .agg(F.count(F.lit(1)).alias("n_ties")), *groups, value)
+    in_order = Window.partitionBy(*groups).orderBy("_part")
+    offsets = (distinct.groupBy(*groups, "_part").agg(F.sum("n_ties").alias("_n"))
+               .select(*groups, "_part",
                        (F.sum("_n").over(in_order) - F.col("_n")).alias("_before"),
                        F.sum("_n").over(Window.partitionBy(*groups)).alias("n_total")))
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(value)
-    return (distinct.join(offsets, [*groups, "_bucket"])
+    inside = Window.partitionBy(*groups, "_part").orderBy(value)
+    return (distinct.join(offsets, [*groups, "_part"])
             .withColumn("n_less", F.col("_before") + F.sum("n_ties").over(inside) - F.col("n_ties"))
-            .select(*groups, value, "n_ties", "n_less", "n_total"))
+            .select(*groups, value, "n_ties", "n_less", "n_total", "_part"))
 
 
-def tie_positions(df: DataFrame, groups: list[str], code: str, prefix: int = 5) -> DataFrame:
+def tie_positions(df: DataFrame, groups: list[str], code: str) -> DataFrame:
     """Adds ``position``: 1, 2, ... by ``code`` within each group of equal rows.
 
-    A third of all rows may tie, so a group is split by the first letters of the
-    code, which keep its order, and offset by the counts of the prefixes before.
+    A third of all rows may tie, so a group is split by ranges of the code itself,
+    whatever letters the codes share, and offset by the counts of the ranges before.
     """
-    rows = df.withColumn("_prefix", F.substring(code, 1, prefix))
-    before = Window.partitionBy(*groups).orderBy("_prefix")
-    offsets = (rows.groupBy(*groups, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-               .select(*groups, "_prefix", (F.sum("_n").over(before) - F.col("_n")).alias("_before")))
-    inside = Window.partitionBy(*groups, "_prefix").orderBy(code)
-    return (rows.withColumn("_inside", F.row_number().over(inside)).join(offsets, [*groups, "_prefix"])
-            .withColumn("position", F.col("_before") + F.col("_inside")).drop("_prefix", "_before", "_inside"))
+    rows = _in_ranges(df, *groups, code)
+    before = Window.partitionBy(*groups).orderBy("_part")
+    offsets = (rows.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"))
+               .select(*groups, "_part", (F.sum("_n").over(before) - F.col("_n")).alias("_before")))
+    inside = Window.partitionBy(*groups, "_part").orderBy(code)
+    return (rows.withColumn("_inside", F.row_number().over(inside)).join(offsets, [*groups, "_part"])
+            .withColumn("position", F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside"))
 
 
 def medians_from_counts(counts: DataFrame, groups: list[str], value: str,
@@ -81,20 +82,19 @@ def benjamini_hochberg(df: DataFrame, p: str, q: str = "q_value") -> DataFrame:
 
     q(p) is the smallest p' * m / rank(p') over p' >= p, so it depends on
     distinct p-values only. The reverse running minimum is taken inside each
-    bucket and against the minima of the buckets above. Rows find their q by
+    range and against the minima of the ranges above. Rows find their q by
     their p, so ``df`` is written out first.
     """
     df = cut_lineage(df)
-    counts = (cumulative_counts(df.withColumn("_all", F.lit(0)), ["_all"], p)
+    counts = (_counts(df.withColumn("_all", F.lit(0)), ["_all"], p)
               .select(F.col(p).alias("_p"), (F.col("n_less") + F.col("n_ties")).alias("_rank"),
-                      F.col("n_total").alias("_m"))
-              .withColumn("_raw", F.col("_p") * F.col("_m") / F.col("_rank"))
-              .withColumn("_bucket", value_bucket(F.col("_p"))))
-    above = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    later = (counts.groupBy("_bucket").agg(F.min("_raw").alias("_min"))
-             .select("_bucket", F.min("_min").over(above).alias("_later")))
-    inside = (Window.partitionBy("_bucket").orderBy(F.desc("_p"))
+                      F.col("n_total").alias("_m"), "_part")
+              .withColumn("_raw", F.col("_p") * F.col("_m") / F.col("_rank")))
+    above = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    later = (counts.groupBy("_part").agg(F.min("_raw").alias("_min"))
+             .select("_part", F.min("_min").over(above).alias("_later")))
+    inside = (Window.partitionBy("_part").orderBy(F.desc("_p"))
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    adjusted = (counts.join(later, "_bucket")
+    adjusted = (counts.join(later, "_part")
                 .select("_p", F.least(F.min("_raw").over(inside), F.col("_later"), F.lit(1.0)).alias(q)))
     return df.join(adjusted, df[p] == adjusted["_p"], "left").drop("_p")

@@ -92,10 +92,9 @@ def resolve_names(asked: DataFrame, column: str, dim: DataFrame, match_on: Seque
     """Adds ``id`` by case-insensitive match on any of ``match_on``; names that
     match nothing get up to ``k`` close names instead.
 
-    Closeness is 1 - levenshtein / longer length; names without a common
-    two-letter piece (word ends count) are not close. ``suggest_from`` is a
-    catalog: candidates are found through the pieces, and only unknown names
-    are compared with it.
+    Closeness is 1 - levenshtein / longer length. ``suggest_from`` is a catalog;
+    only unknown names are compared with it, each with the names whose length
+    lets them reach ``cutoff``: two names differ by at least their difference in length.
     """
     keys = dim.select("id", F.explode(F.array_distinct(F.array_compact(F.array(
         *[F.lower(F.col(c)) for c in match_on])))).alias("_key"))
@@ -110,18 +109,14 @@ def resolve_names(asked: DataFrame, column: str, dim: DataFrame, match_on: Seque
             .select(column, "id", F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions")))
 
 
-def _pieces(text: Column) -> Column:
-    padded = F.concat(F.lit("^"), text, F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1),
-                                        lambda i: F.substring(padded, i, F.lit(2))))
-
-
 def _suggestions(unknown: DataFrame, column: str, pool: DataFrame, k: int, cutoff: float) -> DataFrame:
-    left = unknown.select(column, "_key", F.explode(_pieces(F.col("_key"))).alias("_piece"))
-    right = pool.select("_name", F.explode(_pieces(F.lower("_name"))).alias("_piece"))
-    longer = F.greatest(F.length("_key"), F.length("_name"))
+    size = F.length("_key")
+    reach = F.sequence(F.ceil(size * cutoff - 1e-9).cast("int"), F.floor(size / cutoff + 1e-9).cast("int"))
+    left = unknown.select(column, "_key", F.explode(reach).alias("_size"))
+    right = pool.select("_name", F.length("_name").alias("_size"))
+    longer = F.greatest(size, F.length("_name"))
     score = F.lit(1.0) - F.levenshtein(F.col("_key"), F.lower("_name")) / longer
-    pairs = left.join(right, "_piece").select(column, "_key", "_name").distinct().withColumn("_score", score)
+    pairs = left.join(right, "_size").select(column, "_name", score.alias("_score"))
     w = Window.partitionBy(column).orderBy(F.desc("_score"), "_name")
     best = pairs.where(F.col("_score") >= cutoff).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
     return best.groupBy(column).agg(F.transform(

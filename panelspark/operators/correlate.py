@@ -33,7 +33,7 @@ def lagged_correlation(frame: DataFrame, pairs: DataFrame, *, lag: int = 0, min_
     shared points or a constant side drop out.
     """
     if on not in ("growth", "levels"):
-        raise ValueError("on must be 'growth' or 'levels'")
+        raise ValueError(f"no such basis of correlation: {on!r}")
     points = (growth(frame).withColumnRenamed("growth", "v") if on == "growth"
               else frame.select("unit", "indicator", "year", F.col("value").alias("v")))
     a = (points.join(pairs, points["indicator"] == pairs["indicator_a"])
@@ -239,8 +239,8 @@ def edge_listing(edges: DataFrame, indicator_domains: DataFrame, indicator: str
 
 
 def local_correlations(growths: DataFrame, edges: DataFrame, *, min_years: int = MIN_POINTS,
-                       limit: int | None = 20) -> DataFrame:
-    """Each unit's own correlation for the surviving pairs; the strongest ``limit`` per unit."""
+                       limit: int | None = None) -> DataFrame:
+    """Each unit's own correlation for the surviving pairs; on request the strongest ``limit`` per unit."""
     a = growths.select("unit", "year", F.col("indicator").alias("indicator_a"), F.col("growth").alias("a"))
     b = growths.select("unit", "year", F.col("indicator").alias("indicator_b"), F.col("growth").alias("b"))
     stats = (a.join(edges.select(*PAIR, "relationship", "q_value"), "indicator_a")

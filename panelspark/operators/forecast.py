@@ -275,9 +275,9 @@ def forecast(df: DataFrame, keys: Sequence[str] = ("unit", "indicator"), horizon
     is no prediction: it cannot foresee shocks, policy changes or turning points.
     """
     if horizon < 1:
-        raise ValueError("horizon must be >= 1")
+        raise ValueError("a forecast needs at least one period ahead")
     if not 0 < level < 1:
-        raise ValueError("level must be in (0, 1)")
+        raise ValueError("the band's probability lies strictly between 0 and 1")
     values = F.transform("points", lambda p: p["value"])
     fitted = series_rows(df, keys).withColumn("_f", _fit_udf(horizon, level)(values, F.col("freq")))
     null = F.lit(None).cast("double")

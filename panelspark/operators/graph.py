@@ -107,8 +107,11 @@ def _neighbours(edges: DataFrame) -> DataFrame:
                         ).select(F.col("_l.x").alias("node"), F.col("_l.y").alias("other"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, iterations: int = 10) -> DataFrame:
-    """Deterministic synchronous label propagation.
+def communities(nodes: DataFrame, edges: DataFrame, iterations: int = 100) -> DataFrame:
+    """Deterministic synchronous label propagation: (node_type, ref_id, community, converged).
+
+    Rounds end when no label moves. Labels may swap for ever between two states, so there is
+    an upper number of rounds; ``converged`` says whether the last round moved nothing.
 
     Every node starts with its own id and repeatedly takes the label most common
     among its neighbours and itself; the smallest label wins ties. Votes are
@@ -118,17 +121,18 @@ def communities(nodes: DataFrame, edges: DataFrame, iterations: int = 10) -> Dat
     ids = nodes.select(F.struct(F.col("node_type").alias("t"), F.col("ref_id").alias("r")).alias("node"), "id")
     links = cut_lineage(_neighbours(edges).join(ids.select("node"), "node", "left_semi")
                         .unionByName(ids.select("node", F.col("node").alias("other"))))
-    labels = cut_lineage(ids.select("node", F.col("id").alias("community")))
+    labels, still = cut_lineage(ids.select("node", F.col("id").alias("community"))), False
     for _ in range(iterations):
         votes = (links.join(labels.select(F.col("node").alias("other"), "community"), "other")
                  .groupBy("node", "community").agg(F.count(F.lit(1)).alias("n")))
         updated = cut_lineage(votes.groupBy("node").agg(
             F.min_by("community", F.struct(-F.col("n"), F.col("community"))).alias("community")))
         moved = updated.join(labels, ["node", "community"], "left_anti").limit(1).count()
-        labels = updated
-        if moved == 0:
+        labels, still = updated, moved == 0
+        if still:
             break
-    return labels.select(F.col("node.t").alias("node_type"), F.col("node.r").alias("ref_id"), "community")
+    return labels.select(F.col("node.t").alias("node_type"), F.col("node.r").alias("ref_id"), "community",
+                         F.lit(still).alias("converged"))
 
 
 def modularity(labels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -33,7 +33,9 @@ def classify(rows: DataFrame, known_codes: DataFrame, ordinal: str = "ordinal")
                            .when(~_is_finite(F.col("value")), "non_finite_value")
                            .when(F.col("year").isNull() | ~F.col("year").between(MIN_YEAR, MAX_YEAR),
                                  "year_out_of_range")).drop("_known"))
-    first = (checked.where("reason is null").groupBy(*key).agg(F.min(ordinal).alias("_first")))
+    # only repeated keys go into the join back: they are few, and it can be a broadcast
+    first = (checked.where("reason is null").groupBy(*key)
+             .agg(F.min(ordinal).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
     return (checked.join(first, key, "left")
             .withColumn("reason", F.when(F.col("reason").isNull() & (F.col(ordinal) != F.col("_first")),
                                          "duplicate").otherwise(F.col("reason")))
@@ -56,13 +58,24 @@ def resolve_keys(rows: DataFrame, geography: DataFrame, indicator: DataFrame) ->
     return joined.where(~missing), joined.where(missing)
 
 
-def append_new(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of ``batch`` whose 7-column key is not stored yet. A null vintage equals a null vintage."""
-    b, e = with_sentinels(batch).alias("b"), existing.select(*RECORD_KEY).alias("e")
-    same = F.lit(True)
-    for column in RECORD_KEY:
-        same = same & F.col(f"b.{column}").eqNullSafe(F.col(f"e.{column}"))
-    return b.join(e, same, "left_anti")
+def append_new(existing: DataFrame, batch: DataFrame, ordinal: str | None = None) -> DataFrame:
+    """Rows of ``batch`` whose 7-column key is not stored yet, one per key.
+
+    A null vintage equals a null vintage. Of rows with one key in the batch the one with
+    the smallest ``ordinal`` stays (then the smallest value). Only the stored rows of the
+    batch's indicators and years are compared: these are partition values of the store, so
+    the scan skips the rest.
+    """
+    rows = with_sentinels(batch)
+    keys = [*[c for c in RECORD_KEY if c != "vintage_date"], vintage_order()]
+    first = Window.partitionBy(*keys).orderBy(*[c for c in (ordinal,) if c], F.col("value").asc_nulls_last())
+    rows = rows.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+    touched = rows.select("indicator_id", "year").distinct()
+    near = existing.select(*RECORD_KEY).join(touched, ["indicator_id", "year"], "left_semi")
+    plain = [c for c in RECORD_KEY if c != "vintage_date"]
+    b = rows.withColumn("_vintage", vintage_order())
+    e = with_sentinels(near).select(*plain, vintage_order().alias("_vintage"))
+    return b.join(e, [*plain, "_vintage"], "left_anti").select(*rows.columns)
 
 
 def dedup_records(records: DataFrame) -> DataFrame:

@@ -24,28 +24,26 @@ def unit_code(geography: DataFrame) -> DataFrame:
 def current_vintage(records: DataFrame) -> DataFrame:
     """Rows carrying the latest vintage of their (unit, indicator, source, period).
 
-    Ties are kept: every row at the latest vintage is returned. The maximum is
-    found with map-side aggregation and joined back, so a key with very many
-    copies is never gathered into one window; the join is split by the adaptive
-    skew rule when one key is hot, and broadcast when the keys are few.
+    Ties are kept: every row at the latest vintage is returned. ``rank() = 1`` plans as a
+    group limit before the one shuffle, so a task sends on only its own latest rows of a key.
     """
-    latest = (records.groupBy(*SOURCE_KEY).agg(F.max(vintage_order()).alias("_latest")))
-    keyed = records.withColumn("_latest", vintage_order())
-    return keyed.join(latest, [*SOURCE_KEY, "_latest"]).select(*records.columns)
+    latest = Window.partitionBy(*SOURCE_KEY).orderBy(vintage_order().desc())
+    return records.withColumn("_rank", F.rank().over(latest)).where("_rank = 1").drop("_rank")
 
 
-def best_source(current: DataFrame, source: DataFrame) -> DataFrame:
-    """One row per (unit, indicator, period): highest reliability, then lowest source id.
+def best_source(records: DataFrame, source: DataFrame) -> DataFrame:
+    """One row per (unit, indicator, period): highest reliability, then lowest source id,
+    then its latest vintage, then the lowest value.
 
-    ``row_number() = 1`` plans as a group limit before the shuffle, so each task
-    sends at most one row per key.
+    The vintage is part of the order, so the facts need not be reduced to their current
+    vintage first: one window, one shuffle of the facts, and a group limit before it.
     """
     scores = source.select(F.col("id").alias("source_id"), F.col("reliability_score").alias("_score"))
     order = (Window.partitionBy(*BEST_KEY)
-             .orderBy(F.desc("_score"), "source_id", F.col("value").asc_nulls_last()))
-    return (current.join(scores, "source_id")
+             .orderBy(F.desc("_score"), "source_id", vintage_order().desc(), F.col("value").asc_nulls_last()))
+    return (records.join(scores, "source_id")
             .withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
-            .select(*current.columns))
+            .select(*records.columns))
 
 
 def as_of(records: DataFrame, date: str | dt.date) -> DataFrame:

@@ -41,5 +41,5 @@ class Panel:
         from panelspark.operators.views import best_source
 
         if "best" not in self._views:
-            self._views["best"] = best_source(self.current, self.source)
+            self._views["best"] = best_source(self.records, self.source)
         return self._views["best"]

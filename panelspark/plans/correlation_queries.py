@@ -266,8 +266,7 @@ def _(spark, sf_dir):
 
 
 @register("c13_local_correlations", """
-    SELECT * FROM local_r QUALIFY row_number() OVER (
-      PARTITION BY unit ORDER BY round(abs(correlation), 9) DESC, indicator_a, indicator_b) <= 20""",
+    SELECT * FROM local_r""",
     floats="correlation p_value q_value")
 def _(spark, sf_dir):
     g = growths(spark, sf_dir)

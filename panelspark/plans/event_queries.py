@@ -156,9 +156,10 @@ _HOUR = 3600
     FROM pairs GROUP BY event_id, user_id
     HAVING count(*) FILTER (is_before) > 0 AND count(*) FILTER (NOT is_before) > 0""", floats=_STUDY_FLOATS)
 def _(spark, sf_dir):
-    """Each user's error is an event; the user's values a day before and after."""
+    """Each user's error is an event; the user's values a day before and after. The values are
+    amounts of few digits, so they are summed as decimals, exactly."""
     rows = tables.table(spark, sf_dir, "events").select(
-        "event_id", "event_type", F.col("user_id").alias("unit"), "value",
+        "event_id", "event_type", F.col("user_id").alias("unit"), F.col("value").cast("decimal(28,6)").alias("value"),
         F.unix_timestamp(F.col("ts").cast("timestamp")).alias("tick"))
     errors = rows.where("event_type = 'error'").select(F.col("event_id").alias("event_code"), "unit", "tick")
     return ev.point_event_study(errors, rows.select("unit", "tick", "value"), window=24 * _HOUR, chunk=6 * _HOUR)

@@ -119,7 +119,9 @@ def _label_rounds(rounds: int) -> str:
 
 
 @register("n5_communities", _label_rounds(5) + """
-    SELECT node_type, ref_id, community FROM lab5 JOIN nodes n ON (n.node_type, n.ref_id) = lab5.node""")
+    SELECT node_type, ref_id, community, NOT EXISTS (
+      SELECT 1 FROM lab5 a JOIN lab4 b ON a.node = b.node AND a.community <> b.community) AS converged
+    FROM lab5 JOIN nodes n ON (n.node_type, n.ref_id) = lab5.node""")
 def _(spark, sf_dir):
     return gr.communities(_nodes(spark, sf_dir), _edges(spark, sf_dir), iterations=5)
 
@@ -134,12 +136,13 @@ def _(spark, sf_dir):
     return gr.modularity(gr.communities(_nodes(spark, sf_dir), edges, iterations=5), edges)
 
 
-@register("n6_top_central", """
-    SELECT label, node_type, ref_id, centrality FROM centrality ORDER BY degree DESC, node_type, ref_id LIMIT 12""",
+@register("n6_top_central", _label_rounds(3) + """
+    SELECT label, c.node_type, c.ref_id, centrality, community FROM centrality c
+    JOIN lab3 ON lab3.node = (c.node_type, c.ref_id) ORDER BY degree DESC, c.node_type, c.ref_id LIMIT 12""",
           floats="centrality", digits=9)
 def _(spark, sf_dir):
     nodes, edges = _nodes(spark, sf_dir), _edges(spark, sf_dir)
-    return gr.top_central(gr.degree_centrality(nodes, edges), gr.communities(nodes, edges, 3)).drop("community")
+    return gr.top_central(gr.degree_centrality(nodes, edges), gr.communities(nodes, edges, 3))
 
 
 @register("n7_arcs", """

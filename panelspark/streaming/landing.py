@@ -1,49 +1,106 @@
 """Incremental refresh: a landing folder of normalized rows, appended to the fact table.
 
 The same validate, resolve and append steps as a batch refresh, run per
-micro-batch. Appending is idempotent, so a batch replayed after a failure adds
-nothing twice.
+micro-batch, with an account of every landed row: stored, already known, or why
+it was turned away. Appending is idempotent by key, so a batch replayed after a
+failure stores nothing twice; the append and the stream's checkpoint are not one
+transaction, so the log of a replayed batch is written once more.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DateType, LongType, StructType
 
-from panelspark.operators.ingest import append_new, resolve_keys, validate
+from panelspark.operators.ingest import append_new, classify, resolve_keys, run_log, with_sentinels
 from panelspark.schema import INGEST_ROW, TABLES
+from panelspark.session import cut_lineage
 from panelspark.sources.tables import read_table, write_records
 
 LANDING = StructType(INGEST_ROW.fields).add("source", "string").add("vintage_date", DateType()).add(
     "ordinal", LongType())
 
 
-def load_batch(batch: DataFrame, existing: DataFrame, geography: DataFrame, indicator: DataFrame,
-               source: DataFrame) -> DataFrame:
-    """The new fact rows of one batch of landed rows.
+def judge_batch(batch: DataFrame, existing: DataFrame, geography: DataFrame, indicator: DataFrame,
+                source: DataFrame) -> DataFrame:
+    """Every landed row with its ids and its ``status``: stored, known, unmatched, or the rule it broke.
 
-    Sources are validated apart: two sources reporting one period are no duplicates.
+    Sources are validated apart: two sources reporting one period are no duplicates. A row of an
+    unknown source is not validated at all.
     """
-    tagged = batch.withColumn("indicator_code", F.concat_ws("\x1f", "source", "vintage_date", "indicator_code"))
-    valid, _ = validate(tagged, geography)
-    valid = valid.withColumn("indicator_code", F.element_at(F.split("indicator_code", "\x1f"), -1))
-    matched, _ = resolve_keys(valid, geography, indicator)
     src = source.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
-    rows = matched.join(src, "source").select(
-        "ordinal", "geography_id", "indicator_id", "source_id", "year", "quarter", "month", "value", "unit",
-        "currency", "price_basis", "vintage_date")
-    fresh = append_new(existing, rows)
-    filled = {"id": F.col("ordinal"), "confidence_score": F.lit(1.0), "is_estimated": F.lit(False),
-              "retrieved_at": F.current_timestamp()}
-    return fresh.select(*[(filled[f.name] if f.name in filled else F.col(f.name)).cast(f.dataType).alias(f.name)
-                          for f in TABLES["statistic_record"]])
+    tagged = (batch.join(src, "source", "left").withColumn("_code", F.col("indicator_code"))
+              .withColumn("indicator_code", F.concat_ws("\x1f", "source", "vintage_date", "indicator_code")))
+    known = classify(tagged.where("source_id is not null"), geography)
+    strangers = with_sentinels(tagged.where("source_id is null")).withColumn("reason", F.lit("unknown_source"))
+    judged = known.unionByName(strangers).withColumn("indicator_code", F.col("_code")).drop("_code")
+    matched, unmatched = resolve_keys(judged, geography, indicator)
+    rows = matched.unionByName(unmatched)
+    missing = F.col("geography_id").isNull() | F.col("indicator_id").isNull()
+    rows = rows.withColumn("reason", F.coalesce("reason", F.when(missing, "unmatched")))
+    fresh = append_new(existing, rows.where("reason is null"), "ordinal").select("ordinal", F.lit("stored").alias("_new"))
+    return (rows.join(fresh, "ordinal", "left")
+            .withColumn("status", F.coalesce("reason", "_new", F.lit("known"))).drop("reason", "_new"))
+
+
+def facts(judged: DataFrame, batch_id: int = 0) -> DataFrame:
+    """The fact rows of a judged batch. Ids are unique over batches: the batch's number, then the ordinal."""
+    filled = {"id": F.lit(batch_id * (1 << 40)) + F.col("ordinal"), "confidence_score": F.lit(1.0),
+              "is_estimated": F.lit(False), "retrieved_at": F.current_timestamp()}
+    return judged.where("status = 'stored'").select(
+        *[(filled[f.name] if f.name in filled else F.col(f.name)).cast(f.dataType).alias(f.name)
+          for f in TABLES["statistic_record"]])
+
+
+def problems(judged: DataFrame) -> DataFrame:
+    """The error log of a judged batch: one row per source, series and reason, with the number of rows."""
+    turned_away = judged.where(~F.col("status").isin("stored", "known"))
+    return (turned_away.groupBy("source", F.col("indicator_code").alias("series"), "status")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select("source", "series", F.format_string("%s: %d rows", "status", "n").alias("error"),
+                    F.current_timestamp().alias("occurred_at")))
+
+
+def accounting(judged: DataFrame) -> DataFrame:
+    """Per source, the landed rows by what became of them."""
+    def count(condition: str) -> Column:
+        return F.count(F.when(F.expr(condition), 1))
+
+    return judged.groupBy("source").agg(
+        F.count(F.lit(1)).alias("received"), count("status = 'stored'").alias("inserted"),
+        count("status = 'known'").alias("known"), count("status = 'unmatched'").alias("unmatched"),
+        count("status not in ('stored', 'known', 'unmatched')").alias("rejected"))
+
+
+def load_batch(batch: DataFrame, existing: DataFrame, geography: DataFrame, indicator: DataFrame,
+               source: DataFrame, batch_id: int = 0) -> DataFrame:
+    """The new fact rows of one batch of landed rows."""
+    return facts(judge_batch(batch, existing, geography, indicator, source), batch_id)
+
+
+def refresh(batch: DataFrame, spark: SparkSession, root: str, batch_id: int = 0) -> DataFrame:
+    """Store a batch under ``root`` with its error rows and one run row per source; returns the accounting."""
+    started = dt.datetime.now()
+    dims = [read_table(spark, root, name) for name in ("geography", "indicator", "source")]
+    judged = cut_lineage(judge_batch(batch, read_table(spark, root, "statistic_record"), *dims))
+    write_records(facts(judged, batch_id), root)
+    logged = problems(judged)
+    logged.write.mode("append").parquet(f"{root.rstrip('/')}/ingestion_error")
+    null = F.lit(None).cast("string")
+    sources = judged.select("source").distinct().select(
+        "source", F.lit(started).alias("started_at"), F.current_timestamp().alias("ended_at"),
+        null.alias("disabled_reason"), null.alias("fatal"))
+    runs = run_log(sources, judged.where("status = 'stored'"), logged)
+    runs.write.mode("append").parquet(f"{root.rstrip('/')}/ingestion_run")
+    return accounting(judged)
 
 
 def start(spark: SparkSession, landing: str, root: str, checkpoint: str, *, once: bool = True) -> StreamingQuery:
     """Stream Parquet files of landed rows into the panel stored under ``root``."""
-    def apply(batch: DataFrame, _batch_id: int) -> None:
-        dims = [read_table(spark, root, name) for name in ("geography", "indicator", "source")]
-        write_records(load_batch(batch, read_table(spark, root, "statistic_record"), *dims), root)
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        refresh(batch, spark, root, batch_id)
 
     writer = (spark.readStream.schema(LANDING).parquet(landing).writeStream.foreachBatch(apply)
               .option("checkpointLocation", checkpoint))

@@ -217,3 +217,29 @@ def test_filters_reach_the_scan(make_panel, spark, tmp_path):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(indicator_id" in text and "GreaterThanOrEqual(year,2015)" in text
     assert "WindowGroupLimit" in text
+
+
+def test_views_shuffle_the_facts_once(spark, make_panel, tmp_path):
+    p = make_panel([("DEU", 1, 4, 2015, 1), ("DEU", 1, 3, 2015, 2)])
+    p.records.write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for view, exchanges in ((views.current_vintage(facts), 1), (views.best_source(facts, p.source), 1)):
+            plan = view._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == exchanges and plan.count("FileScan") == 1, plan
+            assert "WindowGroupLimit" in plan
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert views.best_source(facts, p.source).exceptAll(views.best_source(views.current_vintage(facts), p.source)).count() == 0
+
+
+def test_suggestions_need_no_common_piece(spark):
+    from panelspark.operators import catalog as cat
+
+    asked = spark.createDataFrame([("xbydz",), ("qqqqq",)], "asked string")
+    pool = spark.createDataFrame([(1, "abcde"), (2, "ab"), (3, "abcdefghijklmnop")], "id int, name string")
+    out = {r["asked"]: r["suggestions"] for r in cat.resolve_names(asked, "asked", pool, ["name"]).collect()}
+    assert out == {"xbydz": ["abcde"], "qqqqq": []}

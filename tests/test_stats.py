@@ -162,3 +162,38 @@ def test_local_correlations_cover_surviving_pairs_only(spark):
     edges = cor.mine_edges(ser.growth(frame, scale=1.0)).edges
     local = cor.local_correlations(growths, edges).collect()
     assert {(r["indicator_a"], r["indicator_b"]) for r in local} == {("alpha", "beta")} and len(local) == 5
+
+
+@pytest.mark.parametrize("small, big", [(1e-9, 3e-9), (1e33, 3e33), (1.0, 3.0)])
+def test_timeline_keeps_every_magnitude(spark, small, big):
+    from panelspark.functions.timeline import totals_before
+
+    obs = spark.createDataFrame([("a", 1, small), ("a", 25, big), ("a", 60, big)], "k string, at long, value double")
+    probes = spark.createDataFrame([("a", 0, 1), ("a", 2, 2), ("a", 60, 3), ("a", 61, 4)], "k string, at long, i int")
+    out = {r["i"]: (r["sum_before"], r["n_before"]) for r in totals_before(obs, probes, ["k"], 10).collect()}
+    assert out == {1: (0.0, 0), 2: (pytest.approx(small), 1), 3: (pytest.approx(small + big), 2),
+                   4: (pytest.approx(small + 2 * big), 3)}
+    exact = totals_before(obs.withColumn("value", F.lit("0.1").cast("decimal(10,1)")), probes, ["k"], 10)
+    assert {str(r["sum_before"]) for r in exact.where("i = 4").collect()} == {"0.3"}
+
+
+def test_ranks_spread_over_the_tasks(spark):
+    """Close values and codes with one long common prefix fall into ranges of like size."""
+    from panelspark.functions import ranking
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        close = spark.range(200_000).select(F.lit("g").alias("g"), (F.lit(100.0) + F.col("id") * 5e-7).alias("v"))
+        codes = spark.range(100_000).select(F.lit("g").alias("g"), F.concat(F.lit("COMMONPREFIX"), F.lpad("id", 9, "0")).alias("c"))
+        for df, order in ((close, ("g", "v")), (codes, ("g", "c"))):
+            sizes = [r["count"] for r in ranking._in_ranges(df, *order).groupBy("_part").count().collect()]
+            assert len(sizes) >= 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+        counts = ranking.cumulative_counts(close, ["g"], "v").agg(F.max("n_less"), F.min("n_less"), F.max("n_total")).first()
+        assert tuple(counts) == (199_999, 0, 200_000)
+        placed = ranking.tie_positions(codes, ["g"], "c").where("position <> cast(right(c, 9) as int) + 1").count()
+        assert placed == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
