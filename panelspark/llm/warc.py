@@ -85,7 +85,7 @@ def records(pages: DataFrame) -> DataFrame:
             line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
             line("WARC-Refers-To", _record_id(F.col("_first"))), line("X-Refers-To-Page", F.col("_first")))), nothing),
         F.coalesce(line("X-Page-Id", F.col("page_id")), nothing),
-        F.coalesce(line("X-Page-Url", F.base64(F.encode("url", "UTF-8"))), nothing), line("X-Payload-Length", F.col("_bytes")),
+        F.coalesce(line("X-Page-Url", F.hex(F.encode("url", "UTF-8"))), nothing), line("X-Payload-Length", F.col("_bytes")),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length(body)), F.lit(_BREAK))
     return full.select(F.concat(head, body).alias("value"))
 
@@ -194,7 +194,7 @@ def _read_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                             raise ValueError(f"payload does not match its digest in {archive} at {offset}")
                     url = head.get("X-Page-Url")
-                    rows.append((head.get("X-Page-Id"), base64.b64decode(url).decode() if url is not None else None,
+                    rows.append((head.get("X-Page-Id"), bytes.fromhex(url).decode() if url is not None else None,
                                  size, digest, head["WARC-Type"], head.get("X-Refers-To-Page")))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in _RECORD.split(", ")])
         for c in ("page_id", "refers_to"):

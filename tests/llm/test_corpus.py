@@ -121,7 +121,7 @@ def test_leaks_of_the_whole_table(spark, sf):
 
 def test_archives(spark, tmp_path):
     rows = [(1, "http://a\nb", "x"), (2, None, "x"), (3, "u", None), (None, "n", "x"), (4, "é", "é\r\n\r\nWARC/1.1"), (4, "é", "é\r\n\r\nWARC/1.1"),
-            (None, None, "zz"), (7, "big", "<p>" + "long " * 400_000), (8, "", "")]
+            (None, None, "zz"), (7, "big", "<p>" + "long " * 400_000), (8, "", ""), (9, "https://a.example.com/" + "long/" * 60, "y")]
     pages = spark.createDataFrame([(*r, "w") for r in rows], "page_id long, url string, html string, archive string")
     warc.write_archives(pages.coalesce(2), f"file://{tmp_path}/raw")
     done = warc.normalise(spark, f"file://{tmp_path}/raw", f"file://{tmp_path}/members")
