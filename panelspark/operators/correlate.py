@@ -63,28 +63,43 @@ def fisher_pool(df: DataFrame, keys: list[str]) -> DataFrame:
                          F.abs(z).alias("abs_z"), "n_units")
 
 
+def _on_calendar(growths: DataFrame) -> DataFrame:
+    """(unit, indicator, v): every series as one array over the years of its unit, gaps null.
+
+    As long as the calendar. Pairs are formed of these rows, so years never multiply
+    the rows that are shuffled or joined.
+    """
+    spans = growths.groupBy("unit").agg(F.min("year").alias("_y0"), F.max("year").alias("_y1"))
+    points = growths.groupBy("unit", "indicator").agg(F.collect_list(F.struct("year", "growth")).alias("_p"))
+    return points.join(spans, "unit").select("unit", "indicator", F.transform(
+        F.sequence("_y0", "_y1"), lambda y: F.get(F.filter("_p", lambda p: p["year"] == y), 0)["growth"]).alias("v"))
+
+
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select("unit", F.col("indicator").alias(f"indicator_{name}"), F.col("v").alias(name))
+
+
 def unit_lag_correlations(growths: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
     """(indicator_a, indicator_b, test, unit, r, n) at lags 0, +1 and -1.
 
-    Each series row carries its value at t and at t + 1, so one join on
-    (unit, year) serves all three tests.
+    Series meet by unit, as arrays that carry their values at t and at t + 1; years are
+    spread and reduced again in the same task, since the groups lie inside a unit.
     """
-    shifted = (growths.select("unit", "indicator", F.explode(F.array(
-        F.struct(F.col("year").alias("year"), F.col("growth").alias("g0"), F.lit(None).cast("double").alias("g1")),
-        F.struct((F.col("year") - 1).alias("year"), F.lit(None).cast("double").alias("g0"),
-                 F.col("growth").alias("g1")))).alias("_p"))
-        .groupBy("unit", "indicator", "_p.year").agg(F.max("_p.g0").alias("g0"), F.max("_p.g1").alias("g1")))
-    a = shifted.select("unit", "year", F.col("indicator").alias("indicator_a"), F.col("g0").alias("a0"),
-                       F.col("g1").alias("a1"))
-    b = shifted.select("unit", "year", F.col("indicator").alias("indicator_b"), F.col("g0").alias("b0"),
-                       F.col("g1").alias("b1"))
+    rows = _on_calendar(growths)
+
+    def ahead(v: str) -> Column:
+        return F.concat(F.slice(v, F.lit(2), F.size(v)), F.array(F.lit(None).cast("double")))
+
+    points = F.inline_outer(F.arrays_zip(F.col("a").alias("a0"), ahead("a").alias("a1"), F.col("b").alias("b0"),
+                                         ahead("b").alias("b1")))
+    spread = (_side(rows, "a").join(_side(rows, "b").hint("merge"), "unit")
+              .where(F.col("indicator_a") < F.col("indicator_b")).select("unit", *PAIR, points))
     tests = (("a0", "b0"), ("a0", "b1"), ("a1", "b0"))
     cols: list[Column] = []
     for i, (x, y) in enumerate(tests):
         both = F.col(x).isNotNull() & F.col(y).isNotNull()
         cols += [F.count(F.when(both, 1)).alias(f"n{i}"), correlation(x, y).alias(f"r{i}")]
-    wide = (a.join(b, ["unit", "year"]).where(F.col("indicator_a") < F.col("indicator_b"))
-            .groupBy(*PAIR, "unit").agg(*cols))
+    wide = spread.groupBy(*PAIR, "unit").agg(*cols)
     long = F.explode(F.array(*[F.struct(F.lit(test).alias("test"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))
                                for i, test in enumerate(LAG_TESTS)]))
     return (wide.select(*PAIR, "unit", long.alias("_t")).select(*PAIR, "unit", "_t.*")
@@ -125,13 +140,18 @@ def granger(growths: DataFrame, pairs: DataFrame | None = None, min_points: int
     positional among shared points, and a (pair, unit) group holds at most one
     point per year.
     """
-    a = growths.select("unit", "year", F.col("indicator").alias("indicator_a"), F.col("growth").alias("a"))
-    b = growths.select("unit", "year", F.col("indicator").alias("indicator_b"), F.col("growth").alias("b"))
-    both = a.join(b, ["unit", "year"]).where(F.col("indicator_a") < F.col("indicator_b"))
-    if pairs is not None:
-        both = both.join(pairs.select(*PAIR), PAIR, "left_semi")
-    w = Window.partitionBy(*PAIR, "unit").orderBy("year")
-    lagged = both.withColumn("la", F.lag("a").over(w)).withColumn("lb", F.lag("b").over(w))
+    rows = _on_calendar(growths)
+    a, b = _side(rows, "a"), _side(rows, "b")
+    if pairs is None:
+        met = a.join(b.hint("merge"), "unit").where(F.col("indicator_a") < F.col("indicator_b"))
+    else:
+        met = a.join(pairs.select(*PAIR).distinct(), "indicator_a").join(b.hint("merge"), ["unit", "indicator_b"]).where(
+            F.col("indicator_a") < F.col("indicator_b"))
+    shared = met.select("unit", *PAIR, F.filter(F.arrays_zip("a", "b"), lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+                        .alias("_s"))
+    before = F.concat(F.array(F.lit(None).cast("struct<a:double,b:double>")), F.slice("_s", F.lit(1), F.greatest(F.size("_s") - 1, F.lit(0))))
+    lagged = shared.select("unit", *PAIR, F.inline_outer(F.arrays_zip(F.col("_s").alias("now"), before.alias("old")))).where(
+        "now is not null").select("unit", *PAIR, "now.a", "now.b", F.col("old.a").alias("la"), F.col("old.b").alias("lb"))
     paired = F.col("la").isNotNull()
     # rows without a predecessor have null lags, so every correlation but a-b itself skips them
     now_a, now_b = F.when(paired, F.col("a")), F.when(paired, F.col("b"))
@@ -192,14 +212,14 @@ def mine_edges(growths: DataFrame, *, alpha: float = FDR_ALPHA, min_points: int
     """Pairs whose strongest pooled relationship survives FDR over all pairs, with
     leader and follower where causality confirms one.
 
-    The per-unit correlations are written out, because evidence reads them
-    again; so are the tested pairs, in ``bh_fdr``. Evidence stays in rows, one per edge and unit; ``nest_evidence`` packs it per edge.
+    What is read more than once is written out: the per-unit correlations, the significant pairs
+    and the causality detail. Evidence stays in rows, one per edge and unit; ``nest_evidence`` packs it per edge.
     """
     per_unit = cut_lineage(unit_lag_correlations(growths, min_points))
     tested = select_lag(fisher_pool(per_unit, [*PAIR, "test"]).where(F.col("n_units") >= min_units))
-    significant = bh_fdr(tested).where(F.col("q_value") <= alpha)
+    significant = cut_lineage(bh_fdr(tested).where(F.col("q_value") <= alpha))
     lagged = significant.where(F.col("relationship") != LAG_TESTS[0])
-    detail = granger(growths, lagged, min_points)
+    detail = cut_lineage(granger(growths, lagged, min_points))
     a, b = F.col("indicator_a"), F.col("indicator_b")
     edges = (significant.join(pooled_granger(detail), PAIR, "left")
              .withColumn("direction", direction(F.col("relationship"), F.col("granger_p_a_to_b"),

@@ -197,3 +197,18 @@ def test_ranks_spread_over_the_tasks(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_chi_square_tail_of_many_degrees(spark):
+    """Against the sum of all terms, and in time for a million units."""
+    cases = [(2.0, 1), (30.0, 12), (1900.0, 1000), (2100.0, 1000), (2000.0, 1000), (500.0, 1000), (4000.0, 1000), (1e-3, 50)]
+
+    def plain(x, k):
+        y = x / 2
+        return min(1.0, math.fsum(math.exp(-y + i * math.log(y) - math.lgamma(i + 1)) for i in range(k)))
+
+    rows = spark.createDataFrame(cases + [(2e6 + 3000, 1_000_000)], "x double, k int")
+    got = rows.select("x", "k", stats.chi2_even_sf(F.col("x"), F.col("k")).alias("p")).collect()
+    for r in got[:-1]:
+        assert r["p"] == pytest.approx(plain(r["x"], r["k"]), rel=1e-8, abs=1e-300), r
+    assert got[-1]["p"] == pytest.approx(0.0669, abs=2e-3)          # about 1.5 standard deviations above the mean
