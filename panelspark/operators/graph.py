@@ -180,38 +180,30 @@ def propagate(edges: DataFrame, sources: DataFrame, *, shock: float = 1.0, max_h
     graph is split (e.g. per unit). With |weight| <= 1 and 0 < decay <= 1 the
     result is the strongest walk of at most ``max_hops`` arcs.
 
-    Each hop is one join and one aggregation. Every node also has an arc that
-    means "stay", so a hop reads the state once and the plan stays a chain.
+    A hop joins only the nodes reached in the hop before with the arcs, and one aggregation
+    sets their offers against what is already held. The state is written out per hop,
+    since the next hop reads it twice.
     """
     if not 0 < decay <= 1:
         raise ValueError("decay must be in (0, 1]")
     keys = list(by)
     kept = edges.where(~is_variant(F.col("indicator_a"), F.col("indicator_b"))) if drop_variants else edges
-    steps = arcs(kept, edge_floor, keys)
-    nodes = (steps.select(*keys, F.explode(F.array("src", "dst")).alias("src"))
-             .unionByName(sources.select(*keys, F.col("source").alias("src"))).distinct())
-    moves = cut_lineage(steps.withColumn("stay", F.lit(False)).unionByName(
-        nodes.select(*keys, "src", F.col("src").alias("dst"), F.lit(1.0).alias("weight"),
-                     F.lit(True).alias("directed"), F.lit(True).alias("stay"))))
+    steps = cut_lineage(arcs(kept, edge_floor, keys))
     state = sources.select(*keys, "source", F.col("source").alias("node"), F.lit(0).alias("hop"),
                            F.lit(float(shock)).alias("activation"), F.array("source").alias("path"),
                            F.lit(True).alias("directed")).distinct()
     fields = ["hop", "activation", "path", "directed"]
+    moves = steps.select(*keys, F.col("src").alias("node"), F.col("dst").alias("_dst"), F.col("weight").alias("_w"),
+                         F.col("directed").alias("_d"))
+    passed = F.col("activation") * F.col("_w") * decay
     for hop in range(1, max_hops + 1):
-        m = moves.select(*keys, F.col("src").alias("node"), F.col("dst").alias("_dst"), F.col("weight").alias("_w"),
-                         F.col("directed").alias("_d"), F.col("stay").alias("_stay"))
-        passed = F.col("activation") * F.col("_w") * decay
-        arrived = state.join(m, [*keys, "node"]).where(
-            F.col("_stay") | ((F.col("hop") == hop - 1) & (F.abs(passed) >= threshold)))
-        stay = F.col("_stay")
-        offers = arrived.select(
-            *keys, "source", F.col("_dst").alias("node"), F.when(stay, F.col("hop")).otherwise(hop).alias("hop"),
-            F.when(stay, F.col("activation")).otherwise(passed).alias("activation"),
-            F.when(stay, F.col("path")).otherwise(F.concat("path", F.array("_dst"))).alias("path"),
-            F.when(stay, F.col("directed")).otherwise(F.col("directed") & F.col("_d")).alias("directed"))
-        state = (offers.groupBy(*keys, "source", "node")
-                 .agg(F.min_by(F.struct(*fields), F.struct(-F.abs("activation"), F.col("hop"), F.col("path"))).alias("_s"))
-                 .select(*keys, "source", "node", "_s.*"))
+        frontier = state.where(F.col("hop") == hop - 1)
+        offers = frontier.join(moves, [*keys, "node"]).where(F.abs(passed) >= threshold).select(
+            *keys, "source", F.col("_dst").alias("node"), F.lit(hop).alias("hop"), passed.alias("activation"),
+            F.concat("path", F.array("_dst")).alias("path"), (F.col("directed") & F.col("_d")).alias("directed"))
+        state = cut_lineage(state.unionByName(offers).groupBy(*keys, "source", "node").agg(
+            F.min_by(F.struct(*fields), F.struct(-F.abs("activation"), F.col("hop"), F.col("path"))).alias("_s"))
+            .select(*keys, "source", "node", "_s.*"))
     reached = state.where(F.col("node") != F.col("source"))
     if drop_variants:
         reached = reached.where(~is_variant(F.col("node"), F.col("source")))

@@ -195,11 +195,11 @@ _WALK = """
       QUALIFY row_number() OVER (PARTITION BY w.source, w.node ORDER BY abs(activation) DESC, hop, path) = 1)"""
 
 
-@register("n9_propagate", _WALK + " SELECT source, node, hop, activation, directed FROM reached",
+@register("n9_propagate", _WALK + " SELECT source, node, hop, activation, directed, array_to_string(path, ' → ') AS path FROM reached",
           floats="activation", digits=9)
 def _(spark, sf_dir):
     """A shock to every indicator at once."""
-    return _propagated(spark, sf_dir).select("source", "node", "hop", "activation", "directed")
+    return _propagated(spark, sf_dir).select("source", "node", "hop", "activation", "directed", "path")
 
 
 @register("n10_collapse_variants", _WALK + """,

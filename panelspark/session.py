@@ -1,8 +1,10 @@
 """Session settings and lineage cutting."""
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,10 +60,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows, read back from a table written to the checkpoint folder.
 
     Later steps scan only the columns they need, with real sizes to plan by, and
-    an executor lost meanwhile costs no recomputation. The table lives as long
-    as the folder's contents do.
+    an executor lost meanwhile costs no recomputation. The table lives until the folder
+    is emptied, or until the ``intermediate_tables`` block around the call ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/panelspark-{uuid.uuid4().hex}"
+    for block in _BLOCKS:
+        block.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_BLOCKS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``cut_lineage`` writes inside the block when it ends.
+
+    Results must be used up inside: a DataFrame that reads such a table is dead afterwards.
+    """
+    made: list[str] = []
+    _BLOCKS.append(made)
+    try:
+        yield
+    finally:
+        _BLOCKS.remove(made)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for name in made:
+            path = hadoop.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

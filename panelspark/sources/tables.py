@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.panel import Panel
@@ -36,6 +37,23 @@ def store_best(panel: Panel, path: str) -> Panel:
     return replace(panel, _views={**panel._views, "best": panel.spark.read.parquet(path)})
 
 
+def store_edges(edges: DataFrame, root: str) -> DataFrame:
+    """Write mined edges beside the panel, so that every handle opened on it reads them."""
+    path = f"{root.rstrip('/')}/correlation_edge"
+    edges.write.mode("overwrite").parquet(path)
+    return edges.sparkSession.read.parquet(path)
+
+
+def read_edges(spark: SparkSession, root: str) -> DataFrame | None:
+    """The stored edges, None if there are none."""
+    try:
+        return spark.read.parquet(f"{root.rstrip('/')}/correlation_edge")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def upsert_dim(old: DataFrame, new: DataFrame, key: Sequence[str], update: Sequence[str]) -> DataFrame:
     """Insert rows of ``new`` whose key is absent; on present keys refresh the
     ``update`` columns where ``new`` has a value, and keep the rest."""
