@@ -21,8 +21,9 @@ SHARE = 1.5              # words of the mix per word of the input
 EPOCHS = 2               # a source gives at most this many times its words
 BLOCK = 256              # words of a block
 SHARD_SLOTS = 1024       # blocks of an output shard
-PIECE = 20_000           # documents whose running sum one task builds, on average
+PIECE = 4_000            # documents whose running sum one task builds, on average
 SLOT_PIECE = 10_000      # slots made from one row
+SLOT_TASKS = 4_096       # tasks that make them, at most
 _ROUNDS = 16
 
 
@@ -70,7 +71,7 @@ def streams(docs: DataFrame) -> DataFrame:
         F.col("source").alias("_s"), F.col("_piece").alias("_p"),
         F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("_head"))
     placed = pieces.withColumn("_before", before)
-    return placed.join(heads, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_piece") == F.col("_p"))).select(
+    return placed.join(heads.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_piece") == F.col("_p"))).select(
         "doc_id", "source", "size", (F.col("_head") + F.col("_before")).alias("start"))
 
 
@@ -79,8 +80,10 @@ def slots(plan: DataFrame, seed: int = 0) -> DataFrame:
 
     plan: targets() with the blocks of each source, the slots it gets and the slots before it.
     """
+    pieces = plan.agg(F.sum(F.ceil(F.col("slots") / SLOT_PIECE))).first()[0] or 0
     piece = plan.where("slots > 0").withColumn("piece", F.explode(F.expr(
-        f"sequence(0, cast((slots - 1) div {SLOT_PIECE} as bigint))"))).repartition("source", "piece")
+        f"sequence(0, cast((slots - 1) div {SLOT_PIECE} as bigint))"))).repartition(
+            max(1, min(int(pieces), SLOT_TASKS)), "source", "piece")
     each = piece.withColumn("k", F.explode(F.expr(
         f"sequence(piece * {SLOT_PIECE}, least(piece * {SLOT_PIECE} + {SLOT_PIECE} - 1, slots - 1))")))
     name = F.coalesce(F.xxhash64("source"), F.lit(0).cast("long")) + F.lit(seed)
@@ -122,7 +125,8 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
         - F.greatest(F.col("start"), F.col("block") * BLOCK), F.lit(0).cast("long")))
     taken = slots(plan, seed).groupBy("source", "block").agg(F.count("*").alias("times")).withColumnsRenamed(
         {"source": "_s", "block": "_b"})
-    used = cut.join(taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
+    # Both sides grow with the corpus, which the planner cannot tell from the small plan: no broadcast.
+    used = cut.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
     per_doc = used.groupBy("doc_id", "source", "start", "size").agg(
         F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"), F.count("*").alias("_rows"))
     per_source = plan.select(F.col("source").alias("_s"), "source_size", "target")
