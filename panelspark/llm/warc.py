@@ -38,15 +38,13 @@ _INDEX = "archive string, offset long, length long, page_id long"
 _RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def base32_sha1(text: Column) -> Column:
-    """Bare upper-case base32 SHA-1 of the text's UTF-8 bytes, as a column expression."""
-    digest = F.sha1(F.encode(text, "UTF-8"))
+def base32(digest: Column) -> Column:
+    """Bare upper-case base32 of a 160-bit digest in hexadecimal: five digits at a time make four letters."""
+    def letters(start: int) -> list[Column]:
+        bits = F.conv(F.substring(digest, start, 5), 16, 10).cast("int")
+        return [F.substring(F.lit(_BASE32), F.shiftright(bits, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
 
-    def letters(k: Column) -> Column:
-        bits = F.conv(F.substring(digest, k * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[F.substring(F.lit(_BASE32), F.shiftright(bits, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)])
-
-    return F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(7)), letters))
+    return F.concat(*[x for start in range(1, 41, 5) for x in letters(start)])
 
 
 def _record_id(page_id: Column) -> Column:
@@ -62,8 +60,10 @@ def records(pages: DataFrame) -> DataFrame:
     null payload is empty; pages without an id are responses when no equal payload has one.
     """
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), whole("html").alias("html"))
-    given = given.withColumns({"_bytes": F.octet_length("html").cast("long"), "_digest": base32_sha1(F.col("html"))})
-    first = cut_lineage(given.where(F.col("_bytes") >= MIN_SHARED_BYTES).groupBy("_digest").agg(F.max("page_id").alias("_first")))
+    given = given.withColumns({"_bytes": F.octet_length("html").cast("long"), "_digest": F.sha1(F.col("html").cast("binary"))})
+    # only payloads of several pages are looked up
+    first = cut_lineage(given.where(F.col("_bytes") >= MIN_SHARED_BYTES).groupBy("_digest").agg(
+        F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
     first = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
     full = given.join(first, "_digest", "left")
     revisit = F.coalesce((F.col("_bytes") >= MIN_SHARED_BYTES) & F.col("_first").isNotNull()
@@ -80,7 +80,7 @@ def records(pages: DataFrame) -> DataFrame:
     head = F.concat(
         F.lit("WARC/1.1" + _BREAK), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", _record_id(F.col("page_id"))), line("WARC-Date", F.lit(WARC_DATE)),
-        F.coalesce(line("WARC-Target-URI", uri), nothing), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "_digest")),
+        F.coalesce(line("WARC-Target-URI", uri), nothing), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("_digest")))),
         F.coalesce(F.when(revisit, F.concat(
             line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
             line("WARC-Refers-To", _record_id(F.col("_first"))), line("X-Refers-To-Page", F.col("_first")))), nothing),
