@@ -259,6 +259,26 @@ def _backtest_udf():
     return errors
 
 
+def seasonal(df: DataFrame, horizon: int, model: str, keys: Sequence[str] = ("unit", "indicator")) -> DataFrame:
+    """(keys, h, value) of one seasonal model, for the series that hold two seasons at least."""
+    k = MODELS.index(model)
+
+    @F.pandas_udf("array<double>")
+    def ahead(values: pd.Series, freq: pd.Series) -> pd.Series:
+        rows: list = [None] * len(values)
+        for where, y, m in _blocks(values, freq):
+            if m > 1 and y.shape[1] >= 2 * m:
+                future = _fit_block(y, m, horizon)[2]
+                for j, i in enumerate(where):
+                    rows[i] = future[k, j]
+        return pd.Series(rows)
+
+    values = F.transform("points", lambda p: p["value"])
+    rows = series_rows(df, keys).where("freq > 1").select(*keys, ahead(values, F.col("freq")).alias("_y"))
+    return rows.select(*keys, F.posexplode("_y").alias("_i", "value")).select(
+        *keys, (F.col("_i") + 1).alias("h"), "value")
+
+
 def backtest(df: DataFrame, keys: Sequence[str] = ("unit", "indicator")) -> DataFrame:
     """Mean one-step error of every model that applies to a series, over its last origins."""
     values = F.transform("points", lambda p: p["value"])

@@ -8,7 +8,7 @@ from panelspark.operators import correlate as cor, forecast as fc, graph as gr,
 from panelspark.plans import tables
 from panelspark.plans.correlation_queries import growths
 from panelspark.plans.registry import register
-from panelspark.plans.sql_forecast import forecast_sql
+from panelspark.plans.sql_forecast import forecast_sql, predictions
 from panelspark.plans.sql_tables import CTES
 
 CTES.update({
@@ -318,41 +318,40 @@ def _(spark, sf_dir):
     return fc.holt(_series(spark, sf_dir), _HORIZON)
 
 
-@register("f7_backtest", """
-    WITH err AS (
-      SELECT unit, indicator, n, pos, freq, value, least(5, greatest(1, n // 3)) AS k,
-             lag(value) OVER w + (lag(value) OVER w - first_value(value) OVER w) / nullif(pos - 1, 0) AS drift,
-             regr_intercept(value, pos) OVER p + regr_slope(value, pos) OVER p * pos AS linear,
-             CASE WHEN pos >= 2 * freq AND n >= 2 * freq AND freq > 1 THEN
-               CASE freq WHEN 4 THEN lag(value, 4) OVER w + avg(value) OVER q1 - avg(value) OVER q2
-                         ELSE lag(value, 12) OVER w + avg(value) OVER m1 - avg(value) OVER m2 END END AS seasonal_naive
-      FROM fser WINDOW w AS (PARTITION BY unit, indicator ORDER BY pos),
-        p AS (PARTITION BY unit, indicator ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-        q1 AS (PARTITION BY unit, indicator ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING),
-        q2 AS (PARTITION BY unit, indicator ORDER BY pos ROWS BETWEEN 8 PRECEDING AND 5 PRECEDING),
-        m1 AS (PARTITION BY unit, indicator ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING),
-        m2 AS (PARTITION BY unit, indicator ORDER BY pos ROWS BETWEEN 24 PRECEDING AND 13 PRECEDING))
-    SELECT unit, indicator, CAST(n AS INTEGER) AS n_obs, 'drift' AS model, avg(abs(value - drift)) AS mae
-    FROM err WHERE pos >= greatest(2, n - k) GROUP BY ALL
-    UNION ALL
-    SELECT unit, indicator, CAST(n AS INTEGER), 'linear', avg(abs(value - linear))
-    FROM err WHERE pos >= n - k AND n >= 6 GROUP BY ALL
-    UNION ALL
-    SELECT unit, indicator, CAST(n AS INTEGER), 'seasonal_naive', avg(abs(value - seasonal_naive))
-    FROM err WHERE pos >= n - k AND pos >= 2 * freq AND freq > 1 AND n >= 6 GROUP BY ALL""", floats="mae", digits=4)
+def _seasonal_fan(inner: str, value: str) -> str:
+    return predictions() + f"""
+    SELECT c.unit, c.indicator, CAST(h AS INTEGER) AS h, {value} AS value
+    FROM {inner} CROSS JOIN (SELECT unnest(range(1, {_HORIZON + 1})) AS h) WHERE c.freq > 1 AND c.n >= 2 * c.freq"""
+
+
+@register("f5_seasonal_naive", _seasonal_fan("arr c", """c.v[c.n - c.freq + (h - 1) % c.freq + 1] + ((h - 1) // c.freq + 1)
+    * (list_avg(c.v[c.n - c.freq + 1:c.n]) - list_avg(c.v[c.n - 2 * c.freq + 1:c.n - c.freq]))"""), floats="value", digits=4)
+def _(spark, sf_dir):
+    return fc.seasonal(_series(spark, sf_dir), _HORIZON, "seasonal_naive")
+
+
+@register("f6_holt_winters", _seasonal_fan("arr c JOIN hw w ON w.unit = c.unit AND w.indicator = c.indicator AND w.t = c.n",
+          "w.level + w.trend * h + w.season[(c.n + h - 1) % c.freq + 1]"), floats="value", digits=4)
+def _(spark, sf_dir):
+    return fc.seasonal(_series(spark, sf_dir), _HORIZON, "holt_winters")
+
+
+@register("f7_backtest", predictions() + """
+    SELECT s.unit, s.indicator, CAST(a.n AS INTEGER) AS n_obs, mae,
+           ['drift', 'linear', 'log_linear', 'holt', 'seasonal_naive', 'holt_winters'][s.model + 1] AS model
+    FROM scored s JOIN arr a ON a.unit = s.unit AND a.indicator = s.indicator""", floats="mae", digits=4)
 def _(spark, sf_dir):
-    """The models whose every origin SQL can refit; f8 uses all six."""
-    return fc.backtest(_series(spark, sf_dir)).where("model in ('drift', 'linear', 'seasonal_naive')")
+    return fc.backtest(_series(spark, sf_dir))
 
 
-_FORECAST_FLOATS = "t value lo hi backtest_mae"
+_FORECAST_FLOATS = "value lo hi backtest_mae"
 
 
-@register("f8_forecast", forecast_sql(5, 0.8, with_history=False), floats=_FORECAST_FLOATS, digits=2)
+@register("f8_forecast", forecast_sql(5, 0.8, with_history=False), floats=_FORECAST_FLOATS, digits=4)
 def _(spark, sf_dir):
     return fc.forecast(_series(spark, sf_dir)).where("kind = 'forecast'")
 
 
-@register("f9_history_and_forecast", forecast_sql(8, 0.95, with_history=True), floats=_FORECAST_FLOATS, digits=2)
+@register("f9_history_and_forecast", forecast_sql(8, 0.95, with_history=True), floats=_FORECAST_FLOATS, digits=4)
 def _(spark, sf_dir):
     return fc.forecast(_series(spark, sf_dir), horizon=8, level=0.95)

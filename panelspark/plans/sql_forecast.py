@@ -62,6 +62,11 @@ _PREDICTIONS = """
                     regr_intercept(ln(greatest(value, 1e-9)), pos) AS la FROM fser GROUP BY ALL)"""
 
 
+def predictions() -> str:
+    """Every model's state and errors, as common table expressions."""
+    return _PREDICTIONS
+
+
 def forecast_sql(horizon: int, level: float, with_history: bool) -> str:
     z = NormalDist().inv_cdf((1 + level) / 2)
     label = ("CASE freq WHEN 12 THEN (ix // 12) || '-' || lpad(CAST(ix % 12 + 1 AS VARCHAR), 2, '0') "
