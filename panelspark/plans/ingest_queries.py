@@ -484,8 +484,8 @@ def _(spark, sf_dir):
 
 
 # --- contracts ---------------------------------------------------------------
-def _flat(report: DataFrame, *metrics: str) -> DataFrame:
-    return report.select("name", "passed", "severity", "blocking",
+def _flat(report: DataFrame, *metrics: str, also: list[str] | None = None) -> DataFrame:
+    return report.select("name", "passed", "severity", "blocking", *(also or []),
                          *[F.col("metrics")[m].cast("long").alias(m) for m in metrics])
 
 
@@ -516,17 +516,25 @@ def _(spark, sf_dir):
 
 
 @register("d4_freshness", """
+    WITH ages AS (SELECT i.name, 2006 - max(year) AS age FROM records r JOIN indicator i ON i.id = r.indicator_id
+                  WHERE NOT (i.id = 2 AND year > 1997) GROUP BY i.name),
+    placed AS (SELECT name, age, CASE WHEN age >= 8 THEN 'error' WHEN age >= 3 THEN 'warn' END AS grade FROM ages),
+    worst AS (SELECT grade, string_agg(name || ' (' || age || 'y)', ', ' ORDER BY age DESC, name) AS who FROM (
+              SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY grade ORDER BY age DESC, name) <= 5)
+              GROUP BY grade),
+    total AS (SELECT count(*) AS n_indicators, count(*) FILTER (grade = 'warn') AS n_warn,
+                     count(*) FILTER (grade = 'error') AS n_error FROM placed)
     SELECT 'freshness' AS name, n_error + n_warn = 0 AS passed,
            CASE WHEN n_error > 0 THEN 'error' ELSE 'warn' END AS severity, n_error > 0 AS blocking,
-           n_indicators, n_warn, n_error
-    FROM (SELECT count(*) AS n_indicators, count(*) FILTER (age >= 3 AND age < 8) AS n_warn,
-                 count(*) FILTER (age >= 8) AS n_error
-          FROM (SELECT i.name, 2006 - max(year) AS age FROM records r JOIN indicator i ON i.id = r.indicator_id
-                WHERE NOT (i.id = 2 AND year > 1997) GROUP BY i.name))""")
+           n_indicators, n_warn, n_error,
+           CASE WHEN n_error > 0 THEN 'too old: ' || (SELECT who FROM worst WHERE grade = 'error')
+                WHEN n_warn > 0 THEN 'getting old: ' || (SELECT who FROM worst WHERE grade = 'warn')
+                ELSE 'all fresh' END AS detail FROM total""")
 def _(spark, sf_dir):
     p = tables.panel(spark, sf_dir)
     old = p.records.where("not (indicator_id = 2 and year > 1997)")
-    return _flat(dq.check_freshness(old, p.indicator, "2006-05-01"), "n_indicators", "n_warn", "n_error")
+    report = dq.check_freshness(old, p.indicator, "2006-05-01")
+    return _flat(report, "n_indicators", "n_warn", "n_error", also=["detail"])
 
 
 @register("d5_runs", """
