@@ -51,6 +51,7 @@ ANY: Query = frozenset([frozenset()])
 
 def _simpler(query) -> Query:
     """Without alternatives that another one implies."""
+    query = frozenset(query)
     return frozenset(a for a in query if not any(b < a for b in query))
 
 
