@@ -5,7 +5,7 @@ from panelspark.llm import (decontaminate, html_text, minhash, mixing, pii, qual
                             url_filter, warc)
 from panelspark.llm.common import table
 from panelspark.llm.registry import QUERIES, SQL, query
-from panelspark.llm.sql import OP1, OP6
+from panelspark.llm.sql import OP1, OP3, OP6, OP8, OP10
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -18,7 +18,7 @@ def op1(spark, sf_dir):
                       "base_failed", "lost_chars", "kept")
 
 
-@query("op3_minhash_dedup")
+@query("op3_minhash_dedup", OP3)
 def op3(spark, sf_dir):
     """Near-duplicate component of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -30,7 +30,7 @@ def op5(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-@query("op8_secret_scan")
+@query("op8_secret_scan", OP8)
 def op8(spark, sf_dir):
     """Secrets of every document."""
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -48,7 +48,7 @@ def op7(spark, sf_dir):
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
-@query("op10_warc")
+@query("op10_warc", OP10)
 def op10(spark, sf_dir):
     """Every page's record, written to archives and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages")).select(

@@ -1,7 +1,7 @@
 """DuckDB SQL of the registered queries that SQL can express."""
 from __future__ import annotations
 
-from panelspark.llm import quality_rules as rules, url_filter as urls
+from panelspark.llm import quality_rules as rules, secrets, url_filter as urls
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -68,3 +68,56 @@ hit AS (SELECT rid, min(word) AS word FROM split JOIN words
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN word IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
        CASE WHEN rule IS NULL THEN word END AS pattern
 FROM split LEFT JOIN best USING (rid) LEFT JOIN hit USING (rid)"""
+
+# Every pair of documents with a common shingle, linked at 75 %, then the smallest id reachable. A stack of copies
+# shares its shingles, so copies are one class here too. Rows without an id and blank texts stand alone.
+OP3 = rf"""WITH RECURSIVE src AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+    '{_WORD}') AS w FROM documents),
+cut AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS shingles FROM src),
+class AS MATERIALIZED (SELECT list_sort(shingles) AS shingles, min(doc_id) AS rep FROM cut
+    WHERE len(shingles) > 0 AND doc_id IS NOT NULL GROUP BY 1),
+each AS MATERIALIZED (SELECT rep, len(shingles) AS n, unnest(shingles) AS s FROM class),
+pairs AS MATERIALIZED (SELECT a.rep AS x, b.rep AS y FROM each a JOIN each b ON a.s = b.s AND a.rep <> b.rep
+    GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT DISTINCT x, x AS y FROM pairs UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON p.x = r.y),
+parts AS (SELECT x, min(y) AS component FROM reach GROUP BY x),
+found AS (SELECT c.doc_id, len(c.shingles)::BIGINT AS n_shingles, CASE WHEN c.doc_id IS NULL THEN NULL
+    ELSE coalesce(p.component, k.rep, c.doc_id) END AS component_id
+    FROM cut c LEFT JOIN class k ON k.shingles = list_sort(c.shingles) AND len(c.shingles) > 0
+    LEFT JOIN parts p ON p.x = k.rep)
+SELECT doc_id, n_shingles, component_id, coalesce(doc_id = component_id, true) AS kept FROM found"""
+
+
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
+_SECRET_HITS = "\nUNION ALL ".join(
+    f"SELECT rid, {rank} AS rank, '{r.kind}' AS kind, regexp_extract_all(body, '{_quoted(r.pattern)}') AS h, "
+    f"regexp_split_to_array(body, '{_quoted(r.pattern)}') AS g FROM src" for rank, r in enumerate(secrets.RULES))
+_SECRET_LEAST = " ".join(f"WHEN rank = {rank} THEN length(regexp_replace(hit, '{_quoted(r.group)}', '')) >= {r.least}"
+                         for rank, r in enumerate(secrets.RULES) if r.least)
+
+OP8 = rf"""WITH src AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
+hits AS ({_SECRET_HITS}),
+each AS (SELECT rid, rank, kind, h, g, unnest(range(1, len(h) + 1)) AS i FROM hits),
+spots AS (SELECT rid, rank, kind, h[i] AS hit, coalesce(list_sum([length(x) FOR x IN g[1:i]]), 0)
+    + coalesce(list_sum([length(x) FOR x IN h[1:i - 1]]), 0) AS start FROM each),
+spans AS (SELECT rid, rank, kind, start, kind || ':' || start::BIGINT || ':' || (start + length(hit))::BIGINT AS span FROM spots
+    WHERE CASE {_SECRET_LEAST} ELSE true END),
+joined AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+    string_agg(span, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM src LEFT JOIN joined USING (rid)"""
+
+OP10 = """WITH given AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+coded AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS top
+    FROM given),
+fives AS (SELECT *, [('0x' || substr(h, (k * 5 + 1)::INTEGER, 5))::BIGINT FOR k IN range(0, 8)] AS bits FROM coded)
+SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((bits[(j // 4 + 1)::INTEGER] >> (15 - 5 * (j % 4))::INTEGER) & 31) + 1)::INTEGER, 1) FOR j IN range(0, 32)], '') AS payload_digest,
+       CASE WHEN top IS NULL OR page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM fives"""

@@ -88,7 +88,8 @@ def test_trigram_queries():
     q = secrets.trigram_query
     assert q("AKIA[A-Z0-9]{14,}") == {frozenset(["aki", "kia"])}
     assert q("[0-9a-f]{16,}") == secrets.ANY
-    assert q("(?:ab|cde)f") == secrets.ANY                                     # abf or cdef: "abf" | "cde", "def"
+    assert q("(?:ab|cde)f") == {frozenset(["abf"]), frozenset(["cde", "def"])}
+    assert q("(?:ab|cde)?f") == secrets.ANY and q("(?:x|cde)[0-9]f") == secrets.ANY
     assert q("(?:abc|cde)f") == {frozenset(["abc", "bcf"]), frozenset(["cde", "def"])}
     assert q("abc.*xyz") == {frozenset(["abc", "xyz"])}
     assert q("abcd?") == {frozenset(["abc"])}
@@ -156,12 +157,12 @@ def test_base_counts_of_hard_texts(docs):
 def test_failing_lines_go(make_docs):
     prose = " ".join(f"word{i}" for i in range(60)) + "."
     text = f"Home | News | About | Contact\n{prose}\n\nAll rights reserved by us in every country of the world today.\nRead*** this*** now***\n{prose}x."
-    row = quality_rules.quality_rules(make_docs([(1, text), (2, "Buy!! now!! " * 30 + "\n" + prose)])).orderBy("doc_id").collect()
+    row = quality_rules.quality_rules(make_docs([(1, text), (2, " ".join(f"buy{i}!!" for i in range(100)) + "\n" + prose)])).orderBy("doc_id").collect()
     assert row[0].clean_text == f"{prose}\n\n{prose}x." and row[0].lost_chars > 60
-    assert not row[1].kept
+    assert not row[1].kept and not row[1].base_failed
 
 
-@pytest.mark.parametrize("name", ["op1_quality_rules", "op6_url_filter"])
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, sf, name):
     from oracle_check import compare, connect
     from panelspark.plans.registry import Query
