@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelspark.llm.common import SPACE, whole
 from panelspark.session import cut_lineage
 
-WINDOW = 8                   # words; an item with fewer cannot be told from a common phrase
+WINDOW = 8                   # words, a power of two; an item with fewer cannot be told from a common phrase
 MIN_COVER_PERCENT = 50       # share of an item's distinct window positions a document must hold
 BROADCAST_ROWS = 2_000_000   # a written table with more rows is joined by shuffle
 
@@ -43,10 +43,18 @@ def _split(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def _joined(hashes: Column, step: int) -> Column:
+    """Hash of every item with the one step places on; the outer transform names the array."""
+    return F.get(F.transform(F.array(hashes), lambda items: F.transform(
+        items, lambda x, i: F.xxhash64(x, F.get(items, i + step)))), 0)
+
+
 def _hashes(words: Column) -> Column:
-    """Hash of the window that starts at each word, in order."""
-    whole_windows = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, WINDOW)]))
-    return F.when(F.size(words) >= WINDOW, F.slice(whole_windows, 1, F.size(words) - (WINDOW - 1)))
+    """Hash of the window that starts at each word, in order: of pairs, of pairs of these, and again."""
+    hashes, step = words, 1
+    while step < WINDOW:
+        hashes, step = _joined(hashes, step), 2 * step
+    return F.when(F.size(words) >= WINDOW, F.slice(hashes, 1, F.size(words) - (WINDOW - 1)))
 
 
 def _windows(texts: DataFrame, *keys: str) -> DataFrame:

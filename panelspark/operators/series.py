@@ -42,18 +42,17 @@ def members_at(df: DataFrame, geography_bloc: DataFrame, bloc: DataFrame,
     return joined.where(inside).drop("since_year", "until_year")
 
 
-def series(panel: Panel, *, unit_ids: Sequence[int] | None = None,
-           indicator_ids: Sequence[int] | None = None, domain: str | None = None,
-           source: str | None = None, bloc: str | None = None,
-           start: int | None = None, end: int | None = None,
-           ordered: bool = False) -> DataFrame:
-    """Best-source observations with labels.
+def series_facts(panel: Panel, *, unit_ids: Sequence[int] | None = None,
+                 indicator_ids: Sequence[int] | None = None, domain: str | None = None,
+                 source: str | None = None, bloc: str | None = None,
+                 start: int | None = None, end: int | None = None) -> DataFrame:
+    """Best-source observations by id, without labels: what reductions should run on.
 
     Unit, indicator, bloc and year filters are applied to the window's partition
     keys, so Catalyst moves them below it, down to the scan. The source filter
     has to stay above: it picks among winners, not among candidates.
     """
-    facts = panel.best.withColumnRenamed("unit", "_unit")
+    facts = panel.best
     if unit_ids is not None:
         facts = facts.where(F.col("geography_id").isin(list(unit_ids)))
     if indicator_ids is not None:
@@ -64,26 +63,63 @@ def series(panel: Panel, *, unit_ids: Sequence[int] | None = None,
         facts = facts.where(F.col("year") <= end)
     if bloc is not None:
         facts = in_bloc(facts, panel.bloc, panel.geography_bloc, bloc)
+    if domain is not None:
+        wanted = panel.domain.where(F.lower("name") == domain.lower()).select(F.col("id").alias("domain_id"))
+        ids = panel.indicator.join(wanted, "domain_id").select(F.col("id").alias("indicator_id"))
+        facts = facts.join(ids, "indicator_id", "left_semi")
+    if source is not None:
+        ids = panel.source.where(F.lower("name") == source.lower()).select(F.col("id").alias("source_id"))
+        facts = facts.join(ids, "source_id", "left_semi")
+    return facts
+
+
+def labelled(panel: Panel, facts: DataFrame) -> DataFrame:
+    """Observations by id with the names of unit, indicator, domain and source."""
     geo = unit_code(panel.geography).select(
-        F.col("id").alias("geography_id"), "unit", F.col("name").alias("country"))
+        F.col("id").alias("geography_id"), F.col("unit").alias("_code"), F.col("name").alias("country"))
     dom = panel.domain.select(F.col("id").alias("domain_id"), F.col("name").alias("domain"))
     ind = panel.indicator.select(
         F.col("id").alias("indicator_id"), "domain_id", F.col("name").alias("indicator"),
         F.col("unit").alias("_default_unit"), "is_proxy", "proxy_note")
     src = panel.source.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
-    if domain is not None:
-        dom = dom.where(F.lower("domain") == domain.lower())
-    if source is not None:
-        src = src.where(F.lower("source") == source.lower())
-    out = (facts.join(ind, "indicator_id").join(dom, "domain_id").join(src, "source_id")
-           .join(geo, "geography_id")
-           .select("unit", "country", "domain", "indicator", "year", "quarter", "month",
-                   period_label().alias("period"), decimal_year().alias("t"), "value",
-                   F.coalesce("_unit", "_default_unit").alias("value_unit"), "source",
-                   "is_proxy", "proxy_note"))
+    return (facts.join(ind, "indicator_id").join(dom, "domain_id").join(src, "source_id")
+            .join(geo, "geography_id")
+            .select(F.col("_code").alias("unit"), "country", "domain", "indicator", "year", "quarter", "month",
+                    period_label().alias("period"), decimal_year().alias("t"), "value",
+                    F.coalesce("unit", "_default_unit").alias("value_unit"), "source",
+                    "is_proxy", "proxy_note"))
+
+
+def series(panel: Panel, *, ordered: bool = False, **filters) -> DataFrame:
+    """Best-source observations with labels; the filters are those of ``series_facts``."""
+    out = labelled(panel, series_facts(panel, **filters))
     return out.orderBy("indicator", "unit", "t") if ordered else out
 
 
+def latest_series(panel: Panel, *, annual: bool = False, **filters) -> DataFrame:
+    """The most recent observation of each series, labelled after the reduction.
+
+    ``annual`` orders by year first; both break ties by period, so the result is repeatable.
+    """
+    order = [F.desc("year"), decimal_year().desc()] if annual else [decimal_year().desc(), period_label().desc()]
+    w = Window.partitionBy("geography_id", "indicator_id").orderBy(*order)
+    facts = series_facts(panel, **filters)
+    return labelled(panel, facts.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"))
+
+
+def yoy_series(panel: Panel, **filters) -> DataFrame:
+    """Percent change on the same period a year earlier, joined by id and labelled last.
+
+    Missing or zero bases drop out.
+    """
+    facts = series_facts(panel, **filters)
+    key = ["geography_id", "indicator_id", "year", "quarter", "month"]
+    base = facts.select(*key[:2], (F.col("year") + 1).alias("year"), *key[3:], F.col("value").alias("_base")).where(
+        F.col("_base") != 0)
+    moved = facts.join(base, key).withColumn("value", (F.col("value") / F.col("_base") - 1.0) * 100.0).select(*facts.columns)
+    return labelled(panel, moved).withColumn("value_unit", F.lit("% y/y"))
+
+
 def narrow_series(df: DataFrame, units: Sequence[str], indicator: str) -> DataFrame:
     """(year, unit, value) of some units for one indicator."""
     return (df.where(F.col("unit").isin(list(units)) & (F.col("indicator") == indicator))

@@ -278,7 +278,7 @@ def _(spark, sf_dir):
     UNION ALL SELECT 'parquet', unit, indicator, period, value FROM latest""")
 def _(spark, sf_dir):
     """The latest view written in both formats and read back."""
-    view = agg.latest(ser.series(tables.panel(spark, sf_dir))).select("unit", "indicator", "period", "value")
+    view = ser.latest_series(tables.panel(spark, sf_dir)).select("unit", "indicator", "period", "value")
     csv, parquet = _folder(spark, "latest-csv"), _folder(spark, "latest-parquet")
     rel.export_view(view, csv, "csv")
     rel.export_view(view, parquet, "parquet")

@@ -18,7 +18,7 @@ def _series(spark, sf_dir, **kw):
 
 
 def _latest(spark, sf_dir):
-    return agg.latest(_series(spark, sf_dir))
+    return ser.latest_series(tables.panel(spark, sf_dir))
 
 
 def _annual(spark, sf_dir):
@@ -237,7 +237,7 @@ def _(spark, sf_dir):
     FROM srs a JOIN srs b ON a.unit = b.unit AND a.indicator = b.indicator AND a.year = b.year + 1
      AND a.quarter = b.quarter AND a.month = b.month WHERE b.value <> 0""", floats="value")
 def _(spark, sf_dir):
-    return ser.yoy(_series(spark, sf_dir)).select("unit", "indicator", "period", "value", "value_unit")
+    return ser.yoy_series(tables.panel(spark, sf_dir)).select("unit", "indicator", "period", "value", "value_unit")
 
 
 @register("t2_rebase", """
@@ -315,7 +315,7 @@ def _(spark, sf_dir):
     SELECT {', '.join(_LATEST_COLS)} FROM srs
     QUALIFY row_number() OVER (PARTITION BY unit, indicator ORDER BY year DESC, t DESC) = 1""")
 def _(spark, sf_dir):
-    return agg.latest(_series(spark, sf_dir), annual=True).select(_LATEST_COLS)
+    return ser.latest_series(tables.panel(spark, sf_dir), annual=True).select(_LATEST_COLS)
 
 
 @register("a3_ranking", """
