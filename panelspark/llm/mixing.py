@@ -129,6 +129,9 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     used = cut.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
     per_doc = used.groupBy("doc_id", "source", "start", "size").agg(
         F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"), F.count("*").alias("_rows"))
+    # Rows without words share their place in the stream, so equal ones meet here: each comes back.
+    copies = F.when(F.col("size") == 0, F.sequence(F.lit(1).cast("long"), F.col("_rows"))).otherwise(F.array(F.lit(1).cast("long")))
+    per_doc = per_doc.withColumn("_copy", F.explode(copies))
     per_source = plan.select(F.col("source").alias("_s"), "source_size", "target")
     return per_doc.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).select(
         "doc_id", "size", "source_size", "target", "taken")
