@@ -73,20 +73,21 @@ FROM split LEFT JOIN best USING (rid) LEFT JOIN hit USING (rid)"""
 # shares its shingles, so copies are one class here too. Rows without an id and blank texts stand alone.
 OP3 = rf"""WITH RECURSIVE src AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
     '{_WORD}') AS w FROM documents),
-cut AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS shingles FROM src),
-class AS MATERIALIZED (SELECT list_sort(shingles) AS shingles, min(doc_id) AS rep FROM cut
-    WHERE len(shingles) > 0 AND doc_id IS NOT NULL GROUP BY 1),
-each AS MATERIALIZED (SELECT rep, len(shingles) AS n, unnest(shingles) AS s FROM class),
-pairs AS MATERIALIZED (SELECT a.rep AS x, b.rep AS y FROM each a JOIN each b ON a.s = b.s AND a.rep <> b.rep
-    GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+class AS MATERIALIZED (SELECT row_number() OVER () AS c, w, min(doc_id) AS rep FROM src WHERE len(w) > 0 GROUP BY w),
+places AS (SELECT c, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM class),
+each AS MATERIALIZED (SELECT DISTINCT c, array_to_string(w[i:i + 4], ' ') AS s FROM places),
+sizes AS MATERIALIZED (SELECT c, count(*) AS n FROM each GROUP BY c),
+common AS MATERIALIZED (SELECT s, dense_rank() OVER (ORDER BY s) AS k FROM each GROUP BY s HAVING count(*) > 1),
+shared AS MATERIALIZED (SELECT c, rep, k FROM each JOIN common USING (s) JOIN class USING (c) WHERE rep IS NOT NULL),
+pairs AS MATERIALIZED (SELECT a.rep AS x, b.rep AS y FROM shared a JOIN shared b ON a.k = b.k AND a.c <> b.c
+    JOIN sizes m ON m.c = a.c JOIN sizes n ON n.c = b.c
+    GROUP BY a.c, b.c, a.rep, b.rep, m.n, n.n HAVING 100 * count(*) >= 75 * (m.n + n.n - count(*))),
 reach AS (SELECT DISTINCT x, x AS y FROM pairs UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON p.x = r.y),
-parts AS (SELECT x, min(y) AS component FROM reach GROUP BY x),
-found AS (SELECT c.doc_id, len(c.shingles)::BIGINT AS n_shingles, CASE WHEN c.doc_id IS NULL THEN NULL
-    ELSE coalesce(p.component, k.rep, c.doc_id) END AS component_id
-    FROM cut c LEFT JOIN class k ON k.shingles = list_sort(c.shingles) AND len(c.shingles) > 0
-    LEFT JOIN parts p ON p.x = k.rep)
-SELECT doc_id, n_shingles, component_id, coalesce(doc_id = component_id, true) AS kept FROM found"""
+parts AS (SELECT x, min(y) AS component FROM reach GROUP BY x)
+SELECT doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles,
+       CASE WHEN doc_id IS NOT NULL THEN coalesce(p.component, k.rep, doc_id) END AS component_id,
+       coalesce(doc_id = coalesce(p.component, k.rep, doc_id), true) AS kept
+FROM src LEFT JOIN class k ON k.w = src.w LEFT JOIN sizes z ON z.c = k.c LEFT JOIN parts p ON p.x = k.rep"""
 
 
 def _quoted(text: str) -> str:
