@@ -25,9 +25,11 @@ UNITS = ("km cm mm m mi ft in yd kg g mg lb lbs oz l ml gal h hr hrs hours hour
          "usd eur gbp dollars dollar euros euro cents cent percent % miles mile meters meter metres metre "
          "kilometers kilometer kilograms kilogram grams gram pounds pound liters liter litres litre").split()
 
-_EDGE = r"(?<=[\p{L}\p{N}>])[\p{P}\p{S}&&[^<>]]+(?=[\x20\x09-\x0D]|$)|(?<=[\x20\x09-\x0D]|^)[\p{P}\p{S}&&[^<>+-]]+(?=[\p{L}\p{N}])"
+# Each pattern tests a character before it looks behind: most characters are ruled out at once.
+_EDGE = (r"[\p{P}\p{S}&&[^<>]](?<=[\p{L}\p{N}>][\p{P}\p{S}])[\p{P}\p{S}&&[^<>]]*(?=[\x20\x09-\x0D]|$)"
+         r"|[\p{P}\p{S}&&[^<>+-]](?<=(?:^|[\x20\x09-\x0D])[\p{P}\p{S}])[\p{P}\p{S}&&[^<>+-]]*(?=[\p{L}\p{N}])")
 _NUMBER = r"(?<![\p{L}\p{N}])[+-]?[0-9]+(?:[.,:/][0-9]+)*"
-_NAME = r"(?<=[^.!?:;\x20\x09-\x0D]\x20)\p{Lu}\p{Ll}+"
+_NAME = r"\p{Lu}(?<=[^.!?:;\x20\x09-\x0D]\x20\p{Lu})\p{Ll}+"
 _UNIT = r"(?<=<num>|<num>\x20)(?:" + "|".join(sorted((u for u in UNITS), key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
 
 
