@@ -6,6 +6,9 @@ of sources are a multinomial draw under the condition that every source meets it
 a source takes the block at place k of the source's own pseudorandom permutation, starting over after the
 last block. Blocks are joined by index.
 
+The mix is a table of blocks with their words, shard and slot; what it takes of a document is counted from the
+pieces of documents in that table. A block's words are joined by single spaces.
+
 DataFrame operations only. Offsets in a stream are running sums inside hashed pieces of bounded size plus
 the totals of the pieces before, so that no source is ordered in one task.
 """
@@ -13,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelspark.llm.common import whole, word_count
+from panelspark.llm.common import whole, word_count, words
 from panelspark.session import cut_lineage
 
 WEIGHTS = [3, 1, 2]      # of the sources in order of their names, repeating
@@ -60,19 +63,34 @@ def place(x: Column, size: Column, seed: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(_ROUNDS - 1)), x.cast("long"), swap)
 
 
-def streams(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, start): every document's place in its source's stream of words."""
-    n = max(1, docs.count() // PIECE)
-    pieces = docs.withColumn("_piece", F.pmod(F.xxhash64("doc_id", "size", "_salt"), F.lit(n)))
-    inside = Window.partitionBy("source", "_piece").orderBy("doc_id", "size", "_salt")
+def _sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, text, their number of words, and what tells rows of one id apart."""
+    return docs.select("doc_id", "source", "text", word_count("text").alias("size"), F.xxhash64(whole("text")).alias("_salt"))
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """With a source key that is never null: joins and groups on it keep one partitioning."""
+    return df.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_none", F.col("source").isNull())
+
+
+def streams(docs: DataFrame, sized: DataFrame | None = None) -> DataFrame:
+    """docs without _salt, with start: every document's place in its source's stream of words.
+
+    sized: the rows the totals are taken from, if reading docs twice costs more.
+    """
+    sized = docs if sized is None else sized
+    n, key = max(1, sized.count() // PIECE), ["_s", "_none", "_piece"]
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return _keyed(df).withColumn("_piece", F.pmod(F.xxhash64("doc_id", "size", "_salt"), F.lit(n)))
+
+    inside = Window.partitionBy(*key).orderBy("doc_id", "size", "_salt")
     before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    earlier = Window.partitionBy("source").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    heads = pieces.groupBy("source", "_piece").agg(F.sum("size").alias("words")).select(
-        F.col("source").alias("_s"), F.col("_piece").alias("_p"),
-        F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("_head"))
-    placed = pieces.withColumn("_before", before)
-    return placed.join(heads.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_piece") == F.col("_p"))).select(
-        "doc_id", "source", "size", (F.col("_head") + F.col("_before")).alias("start"))
+    earlier = Window.partitionBy("_s", "_none").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    heads = dealt(sized).groupBy(*key).agg(F.sum("size").alias("words")).select(
+        *key, F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("_head"))
+    return dealt(docs).withColumn("_before", before).join(heads.hint("merge"), key).select(
+        *[c for c in docs.columns if c != "_salt"], (F.col("_head") + F.col("_before")).alias("start"))
 
 
 def slots(plan: DataFrame, seed: int = 0) -> DataFrame:
@@ -105,33 +123,63 @@ def plan_of(per_source: DataFrame) -> DataFrame:
         "all_slots", F.sum("slots").over(Window.partitionBy(F.lit(0))))
 
 
+def _cut(placed: DataFrame) -> DataFrame:
+    """(source, block, at, doc_id, start, words, text): the documents of streams(), cut at block borders."""
+    def piece(all_words: Column, block: Column) -> Column:
+        at = F.greatest(F.col("start"), block * BLOCK)
+        n = F.least(F.col("start") + F.col("size"), (block + 1) * BLOCK) - at
+        text = F.array_join(F.slice(all_words, (at - F.col("start") + 1).cast("int"), n.cast("int")), " ")
+        return F.struct(block.alias("block"), at.alias("at"), n.alias("words"), text.alias("text"))
+
+    blocks = F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}"))
+    # The outer transform splits a text once; the outer explode keeps Catalyst from repeating it in a filter below.
+    pieces = F.get(F.transform(F.array(words("text")), lambda w: F.transform(blocks, lambda b: piece(w, b))), 0)
+    return placed.select("source", "doc_id", "start", F.explode_outer(pieces).alias("p")).select(
+        "source", "p.block", "p.at", "doc_id", "start", "p.words", "p.text")
+
+
+def _mixed(docs: DataFrame, sized: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    key = ["_s", "_none", "block"]
+    cut = _keyed(_cut(streams(_sized(docs).where("size > 0"), sized)))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "doc_id", "start", "words", "text")))
+    blocks = cut.groupBy(*key).agg(ordered.alias("_all"))
+    # Both sides grow with the corpus, which the planner cannot tell from the small plan: no broadcast.
+    used = blocks.join(_keyed(slots(plan, seed)).hint("merge"), key)
+    return cut_lineage(used.select(
+        "shard", "slot", "source", "epoch", "block", F.array_join(F.transform("_all", lambda p: p["text"]), " ").alias("text"),
+        F.transform("_all", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["start"].alias("start"), p["words"].alias("words"))
+                    ).alias("pieces")), compression="zstd")
+
+
+def _planned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    sized = cut_lineage(_sized(docs).drop("text"))
+    return sized, cut_lineage(plan_of(targets(sized)))
+
+
+def mixed_blocks(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """(shard, slot, source, epoch, block, text, pieces): the mix itself, a row per slot, read from a written table.
+
+    pieces (doc_id, start, words) are the documents a block was cut from, in order. Slots of a shard are numbered
+    in the order of the mix; rows of the table are in no order.
+    """
+    return _mixed(docs, *_planned(docs), seed)
+
+
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every row.
 
+    taken is counted from the table of mixed_blocks(), which is written for it.
     Defined results: null and blank texts have size 0 and are taken 0 times; null is a source of its
     own, last in order; rows that agree in id, source and text are each a document, and which of them
     comes first does not matter; an empty table gives an empty table. A document's words are taken at
     most EPOCHS times. Other columns are not read.
     """
-    sized = cut_lineage(docs.select("doc_id", "source", word_count("text").alias("size"),
-                                    F.xxhash64(whole("text")).alias("_salt")))
-    plan = cut_lineage(plan_of(targets(sized)))
-    placed = streams(sized)
-    last = F.expr(f"(start + size - 1) div {BLOCK}")
-    cut = placed.withColumn("block", F.explode_outer(F.when(
-        F.col("size") > 0, F.sequence(F.expr(f"start div {BLOCK}"), last))))
-    cut = cut.withColumn("words", F.coalesce(
-        F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
-        - F.greatest(F.col("start"), F.col("block") * BLOCK), F.lit(0).cast("long")))
-    taken = slots(plan, seed).groupBy("source", "block").agg(F.count("*").alias("times")).withColumnsRenamed(
-        {"source": "_s", "block": "_b"})
-    # Both sides grow with the corpus, which the planner cannot tell from the small plan: no broadcast.
-    used = cut.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
-    per_doc = used.groupBy("doc_id", "source", "start", "size").agg(
-        F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"), F.count("*").alias("_rows"))
-    # Rows without words share their place in the stream, so equal ones meet here: each comes back.
-    copies = F.when(F.col("size") == 0, F.sequence(F.lit(1).cast("long"), F.col("_rows"))).otherwise(F.array(F.lit(1).cast("long")))
-    per_doc = per_doc.withColumn("_copy", F.explode(copies))
-    per_source = plan.select(F.col("source").alias("_s"), "source_size", "target")
-    return per_doc.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "doc_id", "size", "source_size", "target", "taken")
+    sized, plan = _planned(docs)
+    taken = _keyed(_mixed(docs, sized, plan, seed)).select("_s", "_none", F.explode("pieces").alias("p")).groupBy(
+        "_s", "_none", F.col("p.start").alias("start")).agg(F.sum("p.words").alias("taken")).withColumn("_some", F.lit(True))
+    # Rows without words share their place in the stream with the next row, but have no piece in the mix.
+    placed = _keyed(streams(sized)).withColumn("_some", F.col("size") > 0)
+    per_doc = placed.join(taken.hint("merge"), ["_s", "_none", "start", "_some"], "left")
+    per_source = _keyed(plan).select("_s", "_none", "source_size", "target")
+    return per_doc.join(per_source, ["_s", "_none"]).select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))

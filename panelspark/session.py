@@ -56,18 +56,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
     """The same rows, read back from a table written to the checkpoint folder.
 
     Later steps scan only the columns they need, with real sizes to plan by, and
     an executor lost meanwhile costs no recomputation. The table lives until the folder
     is emptied, or until the ``intermediate_tables`` block around the call ends.
+    options are those of the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/panelspark-{uuid.uuid4().hex}"
     for block in _BLOCKS:
         block.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -64,6 +64,31 @@ def test_mix_of_odd_rows(spark):
     assert all(r.taken <= 2 * r.size for r in out) and mixing.mix(df.limit(0)).collect() == []
 
 
+def test_mixed_blocks_hold_the_words_of_their_documents(spark):
+    rows = [(i, " \t".join(f"{i}.{k}" for k in range(i * 37 % 700)), [None, "", "a"][i % 3]) for i in range(120)]
+    df = spark.createDataFrame(rows + [(7, None, "a"), (8, " ", None)], "doc_id long, text string, source string")
+    table = mixing.mixed_blocks(df).collect()
+    assert sorted((r.shard, r.slot) for r in table) == [divmod(i, mixing.SHARD_SLOTS) for i in range(len(table))]
+    taken, streams = Counter(), defaultdict(dict)
+    for r in table:
+        words = r.text.split(" ")
+        assert streams[r.source].setdefault(r.block, words) == words and sum(p.words for p in r.pieces) == len(words)
+        for p in r.pieces:
+            assert {w.split(".")[0] for w in words[:p.words]} == {str(p.doc_id)}
+            taken[p.doc_id] += p.words
+            words = words[p.words:]
+    assert {r.doc_id: r.taken for r in mixing.mix(df).collect() if r.size} == {i: taken[i] for i, t, _ in rows if t}
+    assert len({(r.source, r.epoch, r.block) for r in table}) == len(table)
+    whole = [(s, b) for s, bs in streams.items() for b in bs if b < max(bs)]
+    assert all(len(streams[s][b]) == mixing.BLOCK for s, b in whole)
+    full = streams[""]                             # a source taken twice over: all its words, in order within a document
+    in_order = [w for b in sorted(full) for w in full[b]]
+    assert sorted(in_order) == sorted(w for _, t, s in rows if s == "" for w in t.split()) and set(full) == set(range(len(full)))
+    for i, t, s in rows:
+        if s == "":
+            assert [w for w in in_order if w.startswith(f"{i}.")] == t.split()
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 257, 1000])
 def test_places_are_a_permutation(spark, n):
     df = spark.range(n).select(mixing.place(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long")).alias("p"))
