@@ -1,16 +1,17 @@
 """Benchmark leaks by template windows: numbers, names and units become typed placeholders.
 
 Windows of eight canonical words are hashed on both sides and joined. A document is a candidate for
-an item when it holds enough of the item's windows. Candidates are then compared word by word: the
-values behind the placeholders of one occurrence must map one to one between item and document, so
-that a question with other numbers or names is caught, and texts that merely share a frame are not.
+an item when it holds enough of the item's windows. Candidates are then compared word by word: in one
+occurrence a value of the item behind a placeholder must have one value in the document, so that a
+question with other numbers or names is caught, and texts that merely share a frame are not. A window
+that holds another value than most does not count; the others do.
 
 DataFrame operations only. Document windows are matched inside the scan while the benchmark's windows
 are few enough to broadcast, which is counted first; beyond that both sides are shuffled by hash.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.llm.common import SPACE, whole
 from panelspark.session import cut_lineage
@@ -79,6 +80,25 @@ def text_key(text: str = "text") -> list[Column]:
     return [F.xxhash64(whole(text)).alias("_t"), F.length(whole(text)).alias("_n")]
 
 
+def _consistent(found: DataFrame) -> DataFrame:
+    """Matched windows whose values are those of their run, or that equal the item's window word for word.
+
+    A run is one occurrence of an item: the windows on one offset, at most as many as the item has words. In a run
+    a value of the item stands for the document's value that most windows hold, the greatest of equals.
+    """
+    run = ["_t", "_n", "item_id", "offset"]
+    pairs = F.filter(F.arrays_zip("canon", "item_plain", "plain"), lambda x: x["canon"].contains("<"))
+    values = F.transform(pairs, lambda x: F.struct(x["item_plain"].alias("a"), x["plain"].alias("b")))
+    # A shuffle by runs serves all the steps below.
+    each = found.withColumn("offset", F.col("at") - F.col("item_at")).repartition(*run).select(
+        *run, "item_at", "hash", (F.col("plain") == F.col("item_plain")).alias("same"), F.explode_outer(values).alias("v"))
+    each = each.select(*run, "item_at", "hash", "same", "v.a", "v.b")
+    each = each.withColumn("votes", F.count("*").over(Window.partitionBy(*run, "a", "b")))
+    each = each.withColumn("best", F.max(F.struct("votes", "b")).over(Window.partitionBy(*run, "a"))["b"])
+    return each.groupBy(*run, "item_at", "hash").agg(F.max("same").alias("same"), F.every(
+        F.coalesce(F.col("b") == F.col("best"), F.lit(True))).alias("fits")).where("same or fits")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(_t, _n, item_id, cover): texts that hold an item, and the percentage of its windows they hold.
 
@@ -102,14 +122,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = keyed.join(_few(cut_lineage(candidates.select("_t", "_n").distinct())), ["_t", "_n"], "left_semi")
     found = (_windows(texts.dropDuplicates(["_t", "_n"]), "_t", "_n").join(_few(item_windows), "hash")
              .join(candidates, ["_t", "_n", "item_id"]).where(F.col("canon") == F.col("item_canon")))
-    pairs = F.filter(F.arrays_zip("canon", "item_plain", "plain"), lambda x: x["canon"].contains("<"))
-    values = F.transform(pairs, lambda x: F.struct(x["item_plain"].alias("a"), x["plain"].alias("b")))
-    # One occurrence of an item lies on one offset; it has at most as many windows as the item has words.
-    runs = found.groupBy("_t", "_n", "item_id", (F.col("at") - F.col("item_at")).alias("offset")).agg(
-        F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_list(values))).alias("slots"))
-    one_to_one = ((F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["a"]))))
-                  & (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["b"])))))
-    covered = runs.where(one_to_one).select("_t", "_n", "item_id", F.explode("ats").alias("item_at")).distinct()
+    covered = _consistent(found).select("_t", "_n", "item_id", "item_at").distinct()
     return covered.groupBy("_t", "_n", "item_id").agg(F.count("*").alias("k")).join(totals, "item_id").where(enough).select(
         "_t", "_n", "item_id", F.expr("100 * k / windows").alias("cover"))
 

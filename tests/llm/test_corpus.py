@@ -133,6 +133,18 @@ def test_leaks_with_other_parameters(spark, make_docs):
     assert not any(r.contaminated for r in decontaminate.decontaminate(make_docs(rows), items.limit(0)).collect())
 
 
+def test_a_conflict_costs_only_its_own_windows(spark, make_docs):
+    text = ("a farmer has 2 fields and grows wheat on one of them while the other lies bare all through the long winter months "
+            "until rain comes back again and then 5 workers plant corn on it with 2 old machines")
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    shared = ("it takes 1 day and 2 men or 3 more to dig 4 pits", "it takes 7 day and 7 men or 7 more to dig 7 pits")
+    items = items.union(spark.createDataFrame([(2, shared[0]), (3, "so 2 and 2 or 2 but 2 if 2 as 2 by 2")], items.schema))
+    rows = [(1, text), (2, text.replace("with 2", "with 3")), (3, text.replace("5", "2")), (4, "so 1 and 3 or 4 but 5 if 6 as 7 by 8"),
+            (5, shared[1]), (6, text.replace("2", "8").replace("5", "9"))]
+    out = decontaminate.decontaminate(make_docs(rows), items).collect()
+    assert {r.doc_id: r.item_id for r in out} == {1: 1, 2: 1, 3: 1, 4: None, 5: 2, 6: 1}
+
+
 def test_leaks_of_the_whole_table(spark, sf):
     """Documents that hold an item word for word, and no document that shares no eight words with any."""
     items = [(r.item_id, r.text.lower().split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
