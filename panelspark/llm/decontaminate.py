@@ -6,6 +6,9 @@ occurrence a value of the item behind a placeholder must have one value in the d
 question with other numbers or names is caught, and texts that merely share a frame are not. A window
 that holds another value than most does not count; the others do.
 
+Names are told by their upper case, so every window also has a case-free form, lower-cased and without
+placeholders for names. A document holds a window when either form matches.
+
 DataFrame operations only. Document windows are matched inside the scan while the benchmark's windows
 are few enough to broadcast, which is counted first; beyond that both sides are shuffled by hash.
 """
@@ -60,15 +63,35 @@ def _hashes(words: Column) -> Column:
     return F.when(F.size(words) >= WINDOW, F.slice(hashes, 1, F.size(words) - (WINDOW - 1)))
 
 
+def _forms(text: Column) -> tuple[Column, Column]:
+    """Canonical words with names as placeholders, and those of the lower-cased text, which has no names."""
+    return _split(_canonical(text)), _split(_canonical(F.lower(text)))
+
+
+def _other(free: Column, named: Column) -> Column:
+    """Hashes of the case-free windows, null where the window with placeholders for names is the same."""
+    return F.transform(free, lambda h, i: F.when(~h.eqNullSafe(F.get(named, i)), h))
+
+
 def _windows(texts: DataFrame, *keys: str) -> DataFrame:
-    """(keys, at, hash, canon, plain) of every window: its position, hash, canonical words and plain values."""
-    step = texts.select(*keys, _split(_canonical(whole("text"))).alias("_c"),
+    """(keys, at, hash, free, canon, plain) of every window in both forms, once if they agree.
+
+    at is its position, free says that it is the case-free form, canon has canonical words, plain the values.
+    """
+    named, free = _forms(whole("text"))
+    step = texts.select(*keys, named.alias("_c"), free.alias("_k"),
                         _split(F.regexp_replace(F.lower(whole("text")), _EDGE, "")).alias("_p"))
-    step = step.withColumn("_h", _hashes(F.col("_c")))
-    # The outer forms keep Catalyst from repeating the hashes in a filter below; nulls go right after.
-    step = step.select(*keys, "_c", "_p", F.posexplode_outer("_h").alias("at", "hash")).where("hash is not null")
-    return step.select(*keys, "at", "hash", F.slice("_c", F.col("at") + 1, WINDOW).alias("canon"),
-                       F.slice("_p", F.col("at") + 1, WINDOW).alias("plain"))
+    step = step.withColumn("_h", _hashes(F.col("_c"))).withColumn("_g", _hashes(F.col("_k")))
+
+    def marked(hashes: Column, of: bool) -> Column:
+        return F.transform(hashes, lambda h, i: F.struct(i.alias("at"), h.alias("hash"), F.lit(of).alias("free")))
+
+    both = F.concat(marked(F.col("_h"), False), marked(_other(F.col("_g"), F.col("_h")), True))
+    # The outer form keeps Catalyst from repeating the hashes in a filter below; nulls go right after.
+    step = step.select(*keys, "_c", "_k", "_p", F.explode_outer(both).alias("w")).where("w.hash is not null")
+    return step.select(*keys, "w.at", "w.hash", "w.free",
+                       F.slice(F.when(F.col("w.free"), F.col("_k")).otherwise(F.col("_c")), F.col("w.at") + 1, WINDOW).alias("canon"),
+                       F.slice("_p", F.col("w.at") + 1, WINDOW).alias("plain"))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -107,13 +130,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     give an empty result; columns other than text, item_id and text are not read.
     """
     items = benchmark.where("item_id is not null").select("item_id", "text").distinct()
-    item_windows = cut_lineage(_windows(items, "item_id").toDF("item_id", "item_at", "hash", "item_canon", "item_plain"))
-    totals = item_windows.groupBy("item_id").agg(F.count("*").alias("windows"))
+    item_windows = cut_lineage(_windows(items, "item_id").toDF("item_id", "item_at", "hash", "item_free", "item_canon", "item_plain"))
+    totals = item_windows.where("not item_free").groupBy("item_id").agg(F.count("*").alias("windows"))
     keyed = docs.select(*text_key(), whole("text").alias("text"))
 
     marks = _few(item_windows.select("hash", "item_id", "item_at"))
-    hashes = keyed.withColumn("_c", _split(_canonical(F.col("text")))).select(
-        "_t", "_n", F.explode_outer(_hashes(F.col("_c"))).alias("hash")).where("hash is not null")
+    named, free = _forms(F.col("text"))
+    hashes = keyed.select("_t", "_n", named.alias("_c"), free.alias("_k")).select(
+        "_t", "_n", _hashes(F.col("_c")).alias("_h"), _hashes(F.col("_k")).alias("_g")).select(
+        "_t", "_n", F.explode_outer(F.concat("_h", _other(F.col("_g"), F.col("_h")))).alias("hash")).where("hash is not null")
     held = hashes.join(marks, "hash").groupBy("_t", "_n", "item_id", "item_at").count().groupBy("_t", "_n", "item_id").agg(
         F.count("*").alias("k"))
     enough = F.expr(f"100 * k >= {MIN_COVER_PERCENT} * windows")

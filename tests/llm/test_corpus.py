@@ -145,6 +145,17 @@ def test_a_conflict_costs_only_its_own_windows(spark, make_docs):
     assert {r.doc_id: r.item_id for r in out} == {1: 1, 2: 1, 3: 1, 4: None, 5: 2, 6: 1}
 
 
+def test_leaks_in_other_case(spark, make_docs):
+    german = "Der Bauer bringt am Morgen 12 Eier und 3 Liter Milch zum Markt, wo Frau Schmidt alle Eier kauft. Wie viel bleibt dem Bauern?"
+    items = spark.createDataFrame([(1, ITEM), (2, german)], "item_id long, text string")
+    frame = ITEM.replace("12", "40").replace("7", "9").replace("Maria", "Anna").replace("Peter", "John").replace("3 km", "5 km")
+    rows = [(1, ITEM.lower()), (2, "q " * 30 + frame.upper().replace("ANNA", "Anna")), (3, ITEM.upper()), (4, "x. " + german.lower().replace("12", "40")),
+            (5, german.upper()), (6, ITEM.title()), (7, "x y. " + frame), (8, " ".join(ITEM.lower().split()[:10])), (9, "der bauer bringt am morgen nichts zum markt")]
+    out = decontaminate.decontaminate(make_docs(rows), items).collect()
+    assert {r.doc_id: r.item_id for r in out} == {1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 1, 7: 1, 8: None, 9: None}
+    assert sorted(r.doc_id for r in decontaminate.decontaminate_stage(make_docs(rows), items).collect()) == [8, 9]
+
+
 def test_leaks_of_the_whole_table(spark, sf):
     """Documents that hold an item word for word, and no document that shares no eight words with any."""
     items = [(r.item_id, r.text.lower().split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
