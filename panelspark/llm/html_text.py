@@ -31,7 +31,8 @@ _GROUP = 60_000            # padded blocks labelled at once
 _CACHE = 300_000
 
 # Fixed values of the format.
-RAW = "script|style|noscript|template|iframe|title|textarea|svg|math|object|select|button"
+RAW = "script|style|iframe|title|textarea"      # without an end tag they last to the end of the page
+FOREIGN = ("svg", "math")                        # in these "/>" closes an element
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
             "form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section "
@@ -47,8 +48,9 @@ PARTS = ("aside|div.sidebar|section.comments|div.comment|ol.comment-list li.comm
          "div#cookie-consent|div.related-posts|div.share|ul.breadcrumb li|div.ad|div.advertisement|header|header.masthead|footer|"
          "div#footer|nav|nav.menu ul li|div.pagination|div.login|div.popup|div.promo|div.banner|div#comments|div.respond").split("|")
 
-_TAG = re.compile(rf"<(?P<raw>{RAW})(?=[\s/>])[^>]*>(?:.*?</(?P=raw)\s*>|.*)|<!--(?:.*?-->|.*)|<[!?][^>]*>|"
+_TAG = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>|"
                   r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S | re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW.split("|")}
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -65,6 +67,11 @@ class _Slots(dict):
         return slot
 
 
+def _next(html: str, at: int) -> re.Match | None:
+    """The token at a place, or the next one after what is none."""
+    return _TAG.match(html, at) or _TAG.search(html, at)
+
+
 def leaf_blocks(html: str | None) -> list[tuple[tuple[str, ...], str]]:
     """(path, text) of every block with text, in page order. A path names open elements, with classes and ids."""
     out, stack, names, text = [], [], [], []
@@ -76,7 +83,10 @@ def leaf_blocks(html: str | None) -> list[tuple[tuple[str, ...], str]]:
             if words:
                 out.append((tuple(names), words))
 
-    for m in _TAG.finditer(html or ""):
+    html = html or ""
+    at = 0
+    while m := _next(html, at):
+        at = m.end()
         kind = m.lastgroup
         if kind == "text":
             text.append(m["text"])
@@ -93,7 +103,11 @@ def leaf_blocks(html: str | None) -> list[tuple[tuple[str, ...], str]]:
                 k = len(stack) - 1 - stack[::-1].index(tag)
                 del stack[k:], names[k:]
             continue
-        if tag in VOID:
+        if tag in VOID or m["attrs"].endswith("/") and (tag in FOREIGN or any(x in stack for x in FOREIGN)):
+            continue
+        if tag in _RAW_END:
+            end = _RAW_END[tag].search(html, at)
+            at = end.end() if end else len(html)
             continue
         for other in SELF_CLOSING.get(tag, "").split():
             for k in range(len(stack) - 1, -1, -1):

@@ -283,6 +283,18 @@ def test_gradient_of_the_block_labeller():
         assert abs((up - down) / 2e-5) == pytest.approx(np.sqrt(g2.reshape(-1)[at]), rel=1e-3), k
 
 
+@pytest.mark.parametrize("html, texts", [
+    ("<article><p>one</p><p>icon <svg/> two</p><p>three</p>", ["one", "icon two", "three"]),
+    ("<p>a <svg class=x><title/><path d='M0'/></svg> b</p><p>c</p>", ["a b", "c"]),
+    ("<p>let <math><mi>x</mi><mspace/></math> be</p>", ["let x be"]),
+    ("<p>a <button>go<p>b</p><object data=x>shown<p>c</p>", ["a go", "b", "shown", "c"]),
+    ("<p>a</p><noscript><p>b</p></noscript><template>c</template><p>d", ["a", "b", "c", "d"]),
+    ("<p>a<script>if (a < b) '<p>x'</SCRIPT >b<style>p{}</style>c<script/>d</p><p>e", ["abc"]),
+    ("<p>a<textarea>x", ["a"]), ("<p>a<title>x</title>b", ["ab"])])
+def test_blocks_of_elements_inside_text(html, texts):
+    assert [text for _, text in html_text.leaf_blocks(html)] == texts
+
+
 def test_text_of_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     odd = spark.createDataFrame([(-1, "u", None), (-2, None, ""), (-3, "u", "plain words only"), (-4, "u", "<article><p>a &amp; b<br>c\n d</p><script>x</script>"
