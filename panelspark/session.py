@@ -56,6 +56,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new name in the checkpoint folder, deleted with the ``intermediate_tables`` block around the call."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/panelspark-{uuid.uuid4().hex}"
+    for block in _BLOCKS:
+        block.append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
     """The same rows, read back from a table written to the checkpoint folder.
 
@@ -65,9 +73,7 @@ def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
     options are those of the Parquet writer.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/panelspark-{uuid.uuid4().hex}"
-    for block in _BLOCKS:
-        block.append(path)
+    path = scratch_folder(spark)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -86,7 +92,8 @@ def intermediate_tables(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _BLOCKS.remove(made)
+        # By identity: two blocks may list the same tables, or none.
+        _BLOCKS[:] = [block for block in _BLOCKS if block is not made]
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         for name in made:
             path = hadoop.Path(name)
