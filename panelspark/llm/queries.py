@@ -1,11 +1,11 @@
 """One query per operator, over its whole table."""
 from __future__ import annotations
 
-from panelspark.llm import (decontaminate, html_text, minhash, mixing, pii, quality_model, quality_rules, secrets,
-                            url_filter, warc)
+from panelspark.llm import (conversation_repair, decontaminate, html_text, minhash, mixing, pii, prefix_trie, quality_model,
+                            quality_rules, secrets, token_counts, url_filter, warc)
 from panelspark.llm.common import table
 from panelspark.llm.registry import QUERIES, SQL, query
-from panelspark.llm.sql import OP1, OP3, OP6, OP8, OP10
+from panelspark.llm.sql import OP1, OP3, OP6, OP8, OP10, OP13
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -74,3 +74,24 @@ def op4(spark, sf_dir):
     """Main text of every page, by a labeller trained on some of them."""
     pages = table(spark, sf_dir, "pages")
     return html_text.extract(pages, html_text.train(pages))
+
+
+@query("op11_token_counts")
+def op11(spark, sf_dir):
+    """Tokens of every document. The cache is new on every call, so that a call does the whole work."""
+    import public_tokenizers
+
+    tokenizer = token_counts.load(public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer)
+
+
+@query("op12_conversation_repair")
+def op12(spark, sf_dir):
+    """Cheapest repair of every damaged conversation."""
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))[0]
+
+
+@query("op13_prefix_trie", OP13)
+def op13(spark, sf_dir):
+    """Nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))

@@ -122,3 +122,42 @@ SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWX
        CASE WHEN top IS NULL OR page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
 FROM fives"""
+
+# The trie by grouping prefixes. crc32 goes bit by bit over the decimal digits; a prefix is named by a hash of its turns.
+OP13 = """
+WITH turns AS (
+    SELECT conv_id, list({'k': sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')),
+                          'n': length(coalesce(text, ''))}
+                         ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                                  sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS t
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), hashed AS (
+    SELECT conv_id, t, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+        lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+            lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS BIGINT) % 6 AS h
+    FROM turns
+), rebuilt AS (
+    SELECT c.conv_id, list_concat(list_slice(coalesce(b.t, []), 1, c.h), list_slice(c.t, c.h + 1, len(c.t))) AS t
+    FROM hashed c LEFT JOIN turns b ON b.conv_id = c.conv_id - c.conv_id % 100
+), prefixes AS (
+    SELECT conv_id, len(t) AS size, d, CASE WHEN d > 0 THEN t[d].n ELSE 0 END AS chars,
+           sha256(array_to_string(list_transform(list_slice(t, 1, d), lambda x: x.k), '')) AS k,
+           sha256(array_to_string(list_transform(list_slice(t, 1, d - 1), lambda x: x.k), '')) AS up
+    FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)
+), nodes AS (
+    SELECT d, k, any_value(up) AS up, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends
+    FROM prefixes GROUP BY d, k
+), kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+lines AS (
+    SELECT n.d, n.k, a.d AS top_d, a.k AS top_k
+    FROM nodes n JOIN (SELECT DISTINCT conv_id, d, k FROM prefixes) a ON a.conv_id = n.conv_id AND a.d <= n.d
+), sums AS (
+    SELECT l.top_d AS d, l.top_k AS k, sum((n.n_convs - 1) * n.chars) AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+    FROM lines l JOIN nodes n ON n.d = l.d AND n.k = l.k LEFT JOIN kids c ON c.d = n.d AND c.k = n.k GROUP BY ALL
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(c.n, 0) AS BIGINT) AS n_children,
+       s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN sums s ON s.d = n.d AND s.k = n.k LEFT JOIN kids c ON c.d = n.d AND c.k = n.k
+LEFT JOIN nodes p ON n.d > 0 AND p.d = n.d - 1 AND p.k = n.up
+"""
