@@ -25,6 +25,23 @@ def word_count(text: str | Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+BROADCAST_BYTES = 64 << 20      # a larger table is joined by shuffle
+
+
+def few(df: DataFrame, width: Column | int) -> DataFrame:
+    """A written table with a broadcast hint if its rows, of so many bytes each in memory, are few enough."""
+    size = df.agg(F.sum(width if isinstance(width, Column) else F.lit(width))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _SPANS = "array<struct<start:int,end:int,hit:string>>"
 
 

@@ -156,16 +156,123 @@ def test_leaks_in_other_case(spark, make_docs):
     assert sorted(r.doc_id for r in decontaminate.decontaminate_stage(make_docs(rows), items).collect()) == [8, 9]
 
 
-def test_leaks_of_the_whole_table(spark, sf):
-    """Documents that hold an item word for word, and no document that shares no eight words with any."""
-    items = [(r.item_id, r.text.lower().split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    eights = {tuple(w[k:k + 8]) for _, w in items for k in range(len(w) - 7)}
-    flagged = {r.doc_id: r.contaminated for r in QUERIES["op9_decontaminate"](spark, sf).collect()}
-    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
-        w = (r.text or "").lower().split()
-        near = {tuple(w[k:k + 8]) for k in range(len(w) - 7)} & eights
-        holds = near and any(" ".join(x) in " ".join(w) for _, x in items)
-        assert flagged[r.doc_id] == bool(holds) or (near and not holds), r.doc_id
+def leaks_by_hand(texts, items):
+    """{(text, item_id)} by the rules of decontaminate, every text against every item, without hashes."""
+    import regex
+
+    flags = regex.V1 | regex.S
+    edge = (r"[[\p{P}\p{S}]--[<>]](?<=[\p{L}\p{N}>][\p{P}\p{S}])[[\p{P}\p{S}]--[<>]]*(?=[\x20\x09-\x0D]|$)"
+            r"|[[\p{P}\p{S}]--[<>+\-]](?<=(?:^|[\x20\x09-\x0D])[\p{P}\p{S}])[[\p{P}\p{S}]--[<>+\-]]*(?=[\p{L}\p{N}@])")
+    unit = r"(?<=<num>|<num>\x20)(?:" + "|".join(sorted(decontaminate.UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
+
+    def forms(text):
+        named = regex.sub(r"\p{Lu}(?<=[^.!?:;\x20\x09-\x0D]\x20\p{Lu})\p{Ll}+", r"\ue000\g<0>", text or "", flags=flags)
+        bare = regex.sub(edge.replace("@", "\ue000"), "", named.lower(), flags=flags)
+        numbered = regex.sub(unit, "<unit>", regex.sub(r"(?<![\p{L}\p{N}])[+\-]?[0-9]+(?:[.,:/][0-9]+)*", "<num>", bare, flags=flags), flags=flags)
+        split = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]      # noqa: E731
+        out = [split(numbered.replace("\ue000", "")), split(regex.sub(r"\ue000\p{L}+", "<name>", numbered))]
+        return split(bare.replace("\ue000", "")), out
+
+    def windows(text, n):
+        plain, both = forms(text)
+        out = set()
+        for words in both:
+            for i in range(len(words) - n + 1):
+                w = tuple(words[i:i + n])
+                loose = 2 * sum("<" in x for x in w) > n
+                out.add((i, tuple(plain[i:i + n]) if loose else w, tuple(plain[i:i + n])))
+        return out
+
+    found, lengths = set(), {}
+    sides = {}
+    for item_id, text in set(items):
+        if item_id is None or len(forms(text)[0]) < decontaminate.SHORTEST:
+            continue
+        lengths[item_id] = n = min(8, len(forms(text)[0]))
+        index = defaultdict(list)
+        for j, w, q in windows(text, n):
+            index[w].append((j, q))
+        total = len({j for js in index.values() for j, _ in js})
+        for t in set(texts):
+            key = (t, n)
+            if key not in sides:
+                sides[key] = windows(t, n)
+            runs = defaultdict(list)
+            for i, w, p in sides[key]:
+                for j, q in index.get(w, []):
+                    runs[i - j].append((j, w, p, q))
+            held = set()
+            for run in runs.values():
+                votes = Counter((a, b) for _, w, p, q in run for x, a, b in zip(w, q, p) if "<" in x)
+                best = {}
+                for (a, b), k in votes.items():
+                    best[a] = max(best.get(a, (0, "")), (k, b))
+                held |= {j for j, w, p, q in run if p == q or all(best[a][1] == b for x, a, b in zip(w, q, p) if "<" in x)}
+            if 100 * len(held) >= 50 * total or len(held) >= 24:
+                found.add((t, item_id))
+    times = Counter(i for _, i in found)
+    return {(t, i) for t, i in found if lengths[i] == 8 or not (times[i] > 10 and times[i] * 1000 > len(set(texts)))}
+
+
+def check_leaks(spark, rows, items):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS hash", "2 AS item_id", "3 AS _t", "4 AS _gone_t", "5 AS _gone_n", "6 AS at")
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS k", "2 AS _size")
+    want = leaks_by_hand([t or "" for _, t in rows], items)
+    per = defaultdict(set)
+    for t, i in want:
+        per[t].add(i)
+    out = decontaminate.decontaminate(docs, bench).collect()
+    assert sorted((r.doc_id or 0, r.n_items, r.item_id or 0) for r in out) == sorted((d or 0, len(per[t or ""]), min(per[t or ""], default=0)) for d, t in rows)
+    kept = decontaminate.decontaminate_stage(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == sorted(d or 0 for d, t in rows if not per[t or ""])
+    return per
+
+
+def test_leaks_of_the_whole_table_are_those_by_hand(spark, sf):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    flagged = {r.doc_id: r.n_items for r in QUERIES["op9_decontaminate"](spark, sf).collect()}
+    per = Counter(t for t, _ in leaks_by_hand(list(docs.values()), items))
+    assert flagged == {d: per[t] for d, t in docs.items()} and sum(map(bool, flagged.values())) > 5
+
+
+def test_lists_of_numbers_and_names_are_no_leaks(spark):
+    names = ["Anna Bob Carl Dora Eve Fay Gus Hal Ida Joe Kim Lea", "Max Ned Ola Pia Rob Sam Tim Una Val Wim Xan Yan"]
+    numbers = " ".join(str(1_000_000 + k) for k in range(500))
+    prices, scores = ("cost: " + " ".join(f"{k * f}.{k}" for k in range(1, 40)) for f in (3, 7))
+    items = [(1, " ".join(str(k) for k in range(50))), (2, "so x " + names[0]), (3, prices), (4, "What is the capital city?"), (5, "Go on now"),
+             (6, "see the next page"), (7, ITEM + " It is so. " + " ".join(f"then word{k}" for k in range(80)))]
+    rows = [(1, numbers), (2, "so x " + names[1]), (3, scores), (4, "so x " + names[0]), (5, prices), (6, "xx what is the CAPITAL city yy"),
+            (7, "Go on now"), (8, ITEM + " It is so."), (9, "q " + " ".join(ITEM.split()[:20])), (10, None), (11, " ".join(str(k) for k in range(60))),
+            (12, "4 " * 3000), (12, "4 " * 3000), (None, prices), (13, "a " * 20_000 + "what is the capital city")]
+    rows += [(100 + k, f"see the next page {k}") for k in range(12)]
+    per = check_leaks(spark, rows, items)
+    flagged = {d: sorted(per[t or ""]) for d, t in rows if per[t or ""]}
+    assert flagged == {4: [2], 5: [3], None: [3], 6: [4], 8: [7], 11: [1], 13: [4]}
+
+
+def test_a_long_list_of_numbers_takes_no_longer(spark):
+    rows = [(1, " ".join(str(k) for k in range(20_000))), (2, "7 " * 20_000)]
+    items = [(1, " ".join(str(k) for k in range(500_000, 500_200))), (2, " ".join(["8"] * 200)), (3, " ".join(str(k) for k in range(900, 1100)))]
+    out = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: r.item_id for r in out.collect()} == {1: 3, 2: None}
+
+
+def test_leaks_of_random_texts(spark):
+    import random
+    draw = random.Random(4)
+    bits = ["Anna", "Bob", "km", "3", "4.5", "and", "the", "of", "pays", "for", "Then", "said.", "(x)", "12%", "ends", "Über", "so"]
+    items = [(i, " ".join(draw.choice(bits) for _ in range(draw.randint(4, 24)))) for i in range(25)]
+    swap = {"Anna": "Lea", "Bob": "Tom", "3": "8", "4.5": "7"}
+    rows = []
+    for d in range(120):
+        words = draw.choice(items)[1].split()
+        if draw.random() < .5:
+            words = [swap.get(w, w) for w in words]
+        for _ in range(draw.randint(0, 3)):
+            words[draw.randrange(len(words))] = draw.choice(bits)
+        rows.append((d, " ".join([draw.choice(bits) for _ in range(draw.randint(0, 6))] + words)))
+    assert sum(map(bool, check_leaks(spark, rows, items).values())) > 20
 
 
 def test_archives(spark, tmp_path):
