@@ -64,7 +64,9 @@ def test_mix_of_odd_rows(spark):
     assert all(r.taken <= 2 * r.size for r in out) and mixing.mix(df.limit(0)).collect() == []
 
 
-def test_mixed_blocks_hold_the_words_of_their_documents(spark):
+@pytest.mark.parametrize("piece", [4_000, 3])
+def test_mixed_blocks_hold_the_words_of_their_documents(spark, monkeypatch, piece):
+    monkeypatch.setattr(mixing, "PIECE", piece)         # three documents: most blocks lie in several pieces
     rows = [(i, " \t".join(f"{i}.{k}" for k in range(i * 37 % 700)), [None, "", "a"][i % 3]) for i in range(120)]
     df = spark.createDataFrame(rows + [(7, None, "a"), (8, " ", None)], "doc_id long, text string, source string")
     table = mixing.mixed_blocks(df).collect()
@@ -98,7 +100,12 @@ def test_places_are_a_permutation(spark, n):
 
 def test_shards_are_full_and_mixed(spark):
     per = spark.createDataFrame([("a", 300_000, 450_000.0), ("b", 500_000, 250_000.0)], "source string, source_size long, target double")
-    rows = mixing.slots(mixing.plan_of(per)).collect()
+    plan = mixing.plan_of(per)
+    rows = mixing.slots(plan).collect()
+    # Every block finds by itself the slots that take it.
+    own = plan.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("s", F.explode(mixing.slots_of(F.col("block"))))
+    assert sorted((r.source, r.block, r.s.epoch, *divmod(r.s.at, mixing.SHARD_SLOTS)) for r in own.collect()) == sorted(
+        (r.source, r.block, r.epoch, r.shard, r.slot) for r in rows)
     shards = defaultdict(Counter)
     for r in rows:
         shards[r.shard][r.source] += 1
