@@ -84,7 +84,7 @@ def _encoder(kind: str, data: bytes) -> Callable[[list[str]], list[int]]:
     model = tokenizers.Tokenizer.from_str(data.decode())
     model.no_truncation()
     model.no_padding()
-    return lambda texts: [len(e.ids) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+    return lambda texts: [len(e) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _LOADED: dict[str, Callable[[list[str]], list[int]]] = {}
