@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -53,6 +55,31 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.nullif(sd_x * sd_y, F.lit(0.0)))
 
 
+def moments(points: Column, fields: dict[str, Callable[[Column], Column]], products: Sequence[tuple[str, str]]) -> Column:
+    """Struct of n, the means (m_x) and the sums of products of deviations (s_x_y) over an array's points.
+
+    One fold, updated point by point so that nothing cancels and a constant side has exactly no deviation;
+    points that lack a field are passed over. fields gives each from a point.
+    """
+    start = F.struct(F.lit(0.0).alias("n"), *[F.lit(0.0).alias(f"m_{f}") for f in fields],
+                     *[F.lit(0.0).alias(f"s_{x}_{y}") for x, y in products])
+
+    def step(acc: Column, p: Column) -> Column:
+        n = acc["n"] + 1.0
+        off = {f: get(p) - acc[f"m_{f}"] for f, get in fields.items()}
+        new = F.struct(n.alias("n"), *[(acc[f"m_{f}"] + off[f] / n).alias(f"m_{f}") for f in fields],
+                       *[(acc[f"s_{x}_{y}"] + off[x] * off[y] * (acc["n"] / n)).alias(f"s_{x}_{y}") for x, y in products])
+        there = reduce(lambda a, b: a & b, [get(p).isNotNull() for get in fields.values()])
+        return F.when(there, new).otherwise(acc)
+
+    return F.aggregate(points, start, step)
+
+
+def moment_correlation(m: Column, x: str, y: str) -> Column:
+    """Pearson r from moments(); null when either side is constant."""
+    return F.try_divide(m[f"s_{x}_{y}"], F.nullif(F.sqrt(m[f"s_{x}_{x}"]) * F.sqrt(m[f"s_{y}_{y}"]), F.lit(0.0)))
+
+
 def t_two_sided_p(t: Column, df: Column) -> Column:
     """Two-sided Student-t p-value for a whole number of degrees of freedom.
 

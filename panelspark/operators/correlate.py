@@ -1,8 +1,8 @@
 """Correlation, lag and causality mining over (unit, indicator, year, growth) frames.
 
-All pairs are formed by one equi-join on (unit, year): its size is the number of
-indicator pairs, times units, times years, which is the size of the question.
-Partial aggregation folds the years before the shuffle.
+A series is one row: its first year and an array of values. Series of a unit meet as such rows, one per
+indicator pair and unit, and every statistic is a fold over the two aligned arrays: years never become rows
+again. No aggregation sits on the join, so a unit with many indicators is split like any skewed join.
 """
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.functions.ranking import benjamini_hochberg
-from panelspark.functions.stats import (P_FLOOR, chi2_even_sf, correlation, f1_p, fisher_z,
+from panelspark.functions.stats import (P_FLOOR, chi2_even_sf, correlation, f1_p, fisher_z, moment_correlation, moments,
                                         normal_two_sided_p, pearson_stats)
 from panelspark.operators.series import growth
 from panelspark.session import cut_lineage
@@ -63,47 +63,46 @@ def fisher_pool(df: DataFrame, keys: list[str]) -> DataFrame:
                          F.abs(z).alias("abs_z"), "n_units")
 
 
-def _on_calendar(growths: DataFrame) -> DataFrame:
-    """(unit, indicator, v): every series as one array over the years of its unit, gaps null.
-
-    As long as the calendar. Pairs are formed of these rows, so years never multiply
-    the rows that are shuffled or joined.
-    """
-    spans = growths.groupBy("unit").agg(F.min("year").alias("_y0"), F.max("year").alias("_y1"))
-    points = growths.groupBy("unit", "indicator").agg(F.collect_list(F.struct("year", "growth")).alias("_p"))
-    return points.join(spans, "unit").select("unit", "indicator", F.transform(
-        F.sequence("_y0", "_y1"), lambda y: F.get(F.filter("_p", lambda p: p["year"] == y), 0)["growth"]).alias("v"))
+def _as_arrays(points: DataFrame, value: str = "growth") -> DataFrame:
+    """(unit, indicator, y0, v): every series as one array from its first year on, gaps null."""
+    listed = points.groupBy("unit", "indicator").agg(
+        F.array_sort(F.collect_list(F.struct("year", F.col(value).alias("v")))).alias("_p"))
+    placed = F.flatten(F.transform("_p", lambda p, i: F.concat(
+        F.array_repeat(F.lit(None).cast("double"), p["year"] - F.coalesce(F.get("_p", i - 1)["year"], p["year"] - 1) - 1),
+        F.array(p["v"].cast("double")))))
+    return listed.select("unit", "indicator", F.get("_p", 0)["year"].alias("y0"), placed.alias("v"))
 
 
 def _side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select("unit", F.col("indicator").alias(f"indicator_{name}"), F.col("v").alias(name))
+    return rows.select("unit", F.col("indicator").alias(f"indicator_{name}"), F.col("y0").alias(f"y_{name}"), F.col("v").alias(name))
 
 
-def unit_lag_correlations(growths: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
-    """(indicator_a, indicator_b, test, unit, r, n) at lags 0, +1 and -1.
+def _met(rows: DataFrame) -> DataFrame:
+    """Every two series of a unit, the alphabetically first as a."""
+    return _side(rows, "a").join(_side(rows, "b").hint("merge"), "unit").where(F.col("indicator_a") < F.col("indicator_b"))
 
-    Series meet by unit, as arrays that carry their values at t and at t + 1; years are
-    spread and reduced again in the same task, since the groups lie inside a unit.
-    """
-    rows = _on_calendar(growths)
-
-    def ahead(v: str) -> Column:
-        return F.concat(F.slice(v, F.lit(2), F.size(v)), F.array(F.lit(None).cast("double")))
-
-    points = F.inline_outer(F.arrays_zip(F.col("a").alias("a0"), ahead("a").alias("a1"), F.col("b").alias("b0"),
-                                         ahead("b").alias("b1")))
-    spread = (_side(rows, "a").join(_side(rows, "b").hint("merge"), "unit")
-              .where(F.col("indicator_a") < F.col("indicator_b")).select("unit", *PAIR, points))
-    tests = (("a0", "b0"), ("a0", "b1"), ("a1", "b0"))
-    cols: list[Column] = []
-    for i, (x, y) in enumerate(tests):
-        both = F.col(x).isNotNull() & F.col(y).isNotNull()
-        cols += [F.count(F.when(both, 1)).alias(f"n{i}"), correlation(x, y).alias(f"r{i}")]
-    wide = spread.groupBy(*PAIR, "unit").agg(*cols)
-    long = F.explode(F.array(*[F.struct(F.lit(test).alias("test"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))
-                               for i, test in enumerate(LAG_TESTS)]))
-    return (wide.select(*PAIR, "unit", long.alias("_t")).select(*PAIR, "unit", "_t.*")
-            .where((F.col("n") >= min_points) & F.col("r").isNotNull()))
+
+def _aligned(lag: int = 0) -> Column:
+    """Array of (a, b): the values of a at t and of b at t + lag, over the years that both arrays span."""
+    low = F.greatest(F.col("y_a"), F.col("y_b") - lag)
+    high = F.least(F.col("y_a") + F.size("a"), F.col("y_b") + F.size("b") - lag)
+    n = F.greatest(high - low, F.lit(0))
+    return F.arrays_zip(F.slice("a", low - F.col("y_a") + 1, n).alias("a"), F.slice("b", low + lag - F.col("y_b") + 1, n).alias("b"))
+
+
+_AB = {"a": lambda p: p["a"], "b": lambda p: p["b"]}
+_AB_PRODUCTS = [("a", "a"), ("b", "b"), ("a", "b")]
+
+
+def unit_lag_correlations(growths: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
+    """(indicator_a, indicator_b, test, unit, r, n) at lags 0, +1 and -1: three folds over the arrays of a pair."""
+    met = _met(_as_arrays(growths))
+    lags = {test: lag for test, lag in zip(LAG_TESTS, (0, 1, -1))}
+    folded = met.select("unit", *PAIR, *[moments(_aligned(lag), _AB, _AB_PRODUCTS).alias(test) for test, lag in lags.items()])
+    tests = F.array(*[F.struct(F.lit(test).alias("test"), moment_correlation(F.col(test), "a", "b").alias("r"),
+                               F.col(test)["n"].cast("long").alias("n")) for test in LAG_TESTS])
+    kept = F.filter(tests, lambda t: (t["n"] >= min_points) & t["r"].isNotNull())
+    return folded.select(*PAIR, "unit", F.explode(kept).alias("_t")).select(*PAIR, "unit", "_t.*")
 
 
 def pooled_lags(growths: DataFrame, *, min_points: int = MIN_POINTS, min_units: int = MIN_UNITS) -> DataFrame:
@@ -140,26 +139,20 @@ def granger(growths: DataFrame, pairs: DataFrame | None = None, min_points: int
     positional among shared points, and a (pair, unit) group holds at most one
     point per year.
     """
-    rows = _on_calendar(growths)
-    a, b = _side(rows, "a"), _side(rows, "b")
+    rows = _as_arrays(growths)
     if pairs is None:
-        met = a.join(b.hint("merge"), "unit").where(F.col("indicator_a") < F.col("indicator_b"))
+        met = _met(rows)
     else:
-        met = a.join(pairs.select(*PAIR).distinct(), "indicator_a").join(b.hint("merge"), ["unit", "indicator_b"]).where(
-            F.col("indicator_a") < F.col("indicator_b"))
-    shared = met.select("unit", *PAIR, F.filter(F.arrays_zip("a", "b"), lambda p: p["a"].isNotNull() & p["b"].isNotNull())
-                        .alias("_s"))
-    before = F.concat(F.array(F.lit(None).cast("struct<a:double,b:double>")), F.slice("_s", F.lit(1), F.greatest(F.size("_s") - 1, F.lit(0))))
-    lagged = shared.select("unit", *PAIR, F.inline_outer(F.arrays_zip(F.col("_s").alias("now"), before.alias("old")))).where(
-        "now is not null").select("unit", *PAIR, "now.a", "now.b", F.col("old.a").alias("la"), F.col("old.b").alias("lb"))
-    paired = F.col("la").isNotNull()
-    # rows without a predecessor have null lags, so every correlation but a-b itself skips them
-    now_a, now_b = F.when(paired, F.col("a")), F.when(paired, F.col("b"))
-    stats = (lagged.withColumn("a1", now_a).withColumn("b1", now_b).groupBy(*PAIR, "unit")
-             .agg(F.count(F.lit(1)).alias("n"), correlation("la", "lb").alias("_lalb"),
-                  correlation("a1", "la").alias("_aa"), correlation("b1", "lb").alias("_bb"),
-                  correlation("b1", "la").alias("_ba"), correlation("a1", "lb").alias("_ab"))
-             .where(F.col("n") >= min_points))
+        met = _side(rows, "a").join(pairs.select(*PAIR).distinct(), "indicator_a").join(
+            _side(rows, "b").hint("merge"), ["unit", "indicator_b"]).where(F.col("indicator_a") < F.col("indicator_b"))
+    shared = met.select("unit", *PAIR, F.filter(_aligned(), lambda p: p["a"].isNotNull() & p["b"].isNotNull()).alias("_s")).where(
+        F.size("_s") >= min_points)
+    steps = F.arrays_zip(F.slice("_s", F.lit(2), F.size("_s") - 1).alias("now"), F.slice("_s", F.lit(1), F.size("_s") - 1).alias("old"))
+    fields = {"a": lambda p: p["now"]["a"], "b": lambda p: p["now"]["b"], "la": lambda p: p["old"]["a"], "lb": lambda p: p["old"]["b"]}
+    products = [(f, f) for f in fields] + [("la", "lb"), ("a", "la"), ("b", "lb"), ("b", "la"), ("a", "lb")]
+    folded = shared.select("unit", *PAIR, F.size("_s").cast("long").alias("n"), moments(steps, fields, products).alias("_m"))
+    stats = folded.select("unit", *PAIR, "n", *[moment_correlation(F.col("_m"), x, y).alias(name) for name, x, y in (
+        ("_lalb", "la", "lb"), ("_aa", "a", "la"), ("_bb", "b", "lb"), ("_ba", "b", "la"), ("_ab", "a", "lb"))])
 
     def f_statistic(y_x: str, y_own: str) -> Column:
         top = F.col(y_x) - F.col(y_own) * F.col("_lalb")
@@ -261,12 +254,12 @@ def edge_listing(edges: DataFrame, indicator_domains: DataFrame, indicator: str
 def local_correlations(growths: DataFrame, edges: DataFrame, *, min_years: int = MIN_POINTS,
                        limit: int | None = None) -> DataFrame:
     """Each unit's own correlation for the surviving pairs; on request the strongest ``limit`` per unit."""
-    a = growths.select("unit", "year", F.col("indicator").alias("indicator_a"), F.col("growth").alias("a"))
-    b = growths.select("unit", "year", F.col("indicator").alias("indicator_b"), F.col("growth").alias("b"))
-    stats = (a.join(edges.select(*PAIR, "relationship", "q_value"), "indicator_a")
-             .join(b, ["unit", "year", "indicator_b"])
-             .groupBy("unit", *PAIR, "relationship", "q_value")
-             .agg(correlation("a", "b").alias("correlation"), F.count(F.lit(1)).alias("n_years"))
+    rows = _as_arrays(growths)
+    met = _side(rows, "a").join(edges.select(*PAIR, "relationship", "q_value"), "indicator_a").join(
+        _side(rows, "b"), ["unit", "indicator_b"])
+    folded = met.select("unit", *PAIR, "relationship", "q_value", moments(_aligned(), _AB, _AB_PRODUCTS).alias("_m"))
+    stats = (folded.select("unit", *PAIR, "relationship", "q_value", moment_correlation(F.col("_m"), "a", "b").alias("correlation"),
+                           F.col("_m.n").cast("long").alias("n_years"))
              .where((F.col("n_years") >= min_years) & F.col("correlation").isNotNull())
              .withColumn("p_value", pearson_stats(F.col("correlation"), F.col("n_years"))["p_value"]))
     if limit is None:
@@ -278,11 +271,26 @@ def local_correlations(growths: DataFrame, edges: DataFrame, *, min_years: int =
 def correlation_matrix(frame: DataFrame, min_pairs: int = 30) -> DataFrame:
     """Pearson r of every indicator pair over pooled (unit, year) observations,
     pairwise complete; the diagonal and both triangles, as (indicator_a, indicator_b, r, n)."""
-    a = frame.select("unit", "year", F.col("indicator").alias("indicator_a"), F.col("value").alias("a"))
-    b = frame.select("unit", "year", F.col("indicator").alias("indicator_b"), F.col("value").alias("b"))
-    half = (a.join(b, ["unit", "year"]).where(F.col("indicator_a") <= F.col("indicator_b"))
-            .groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"), correlation("a", "b").alias("r"))
-            .where((F.col("n") >= min_pairs) & F.col("r").isNotNull()))
+    # Deviations from the indicator's mean: what is added up over units then stays near zero.
+    centre = frame.groupBy("indicator").agg(F.avg("value").alias("_c"))
+    rows = _as_arrays(frame.join(centre, "indicator").withColumn("_v", F.col("value") - F.col("_c")), "_v")
+    met = _side(rows, "a").join(_side(rows, "b").hint("merge"), "unit").where(F.col("indicator_a") <= F.col("indicator_b"))
+    m = F.col("_m")
+    units = met.select(*PAIR, moments(_aligned(), _AB, _AB_PRODUCTS).alias("_m")).where("_m.n > 0")
+    # Equal values all over a pair have no deviation, in a unit or between units; sums would leave a trace of rounding.
+    flat = [F.min(m["m_" + x]) == F.max(m["m_" + x]) for x in "ab"]
+    totals = units.groupBy(*PAIR).agg(
+        F.sum(m["n"]).alias("n"), *[F.sum(m["n"] * m[f"m_{x}"]).alias(f"t_{x}") for x in "ab"],
+        *[F.sum(m[f"s_{x}_{y}"] + m["n"] * m[f"m_{x}"] * m[f"m_{y}"]).alias(f"q_{x}_{y}") for x, y in _AB_PRODUCTS],
+        *[(f & (F.max(m[f"s_{x}_{x}"]) == 0.0)).alias(f"flat_{x}") for x, f in zip("ab", flat)])
+
+    def deviation(x: str, y: str) -> Column:
+        return F.col(f"q_{x}_{y}") - F.col(f"t_{x}") * F.col(f"t_{y}") / F.col("n")
+
+    spread = F.sqrt(F.greatest(deviation("a", "a"), F.lit(0.0))) * F.sqrt(F.greatest(deviation("b", "b"), F.lit(0.0)))
+    r = F.when(~F.col("flat_a") & ~F.col("flat_b"), F.try_divide(deviation("a", "b"), F.nullif(spread, F.lit(0.0))))
+    half = totals.select(*PAIR, F.col("n").cast("long").alias("n"), F.when(F.col("indicator_a") == F.col("indicator_b"), F.when(r.isNotNull(), 1.0)).otherwise(r).alias("r")).where(
+        (F.col("n") >= min_pairs) & F.col("r").isNotNull())
     sides = F.array(F.struct(F.col("indicator_a").alias("x"), F.col("indicator_b").alias("y")),
                     F.struct(F.col("indicator_b").alias("x"), F.col("indicator_a").alias("y")))
     return (half.select("r", "n", F.explode(F.array_distinct(sides)).alias("_s"))

@@ -212,3 +212,44 @@ def test_chi_square_tail_of_many_degrees(spark):
     for r in got[:-1]:
         assert r["p"] == pytest.approx(plain(r["x"], r["k"]), rel=1e-8, abs=1e-300), r
     assert got[-1]["p"] == pytest.approx(0.0669, abs=2e-3)          # about 1.5 standard deviations above the mean
+
+
+def test_moments_fold_like_two_passes(spark):
+    """Folded deviations equal numpy's, with gaps, far from zero, and exactly none for a constant side."""
+    import numpy as np
+
+    from panelspark.functions.stats import moment_correlation, moments
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(40):
+        n = int(rng.integers(0, 30))
+        a, b = (rng.normal(1e9, 1.0, n) if i % 2 else rng.normal(0, 5, n)).tolist(), rng.normal(3, 2, n).tolist()
+        if i % 5 == 0:
+            a = [0.1] * n
+        rows.append((i, [(None if rng.random() < .1 else x, None if rng.random() < .1 else y) for x, y in zip(a, b)]))
+    df = spark.createDataFrame(rows, "id int, p array<struct<a:double,b:double>>").select("id", moments(
+        F.col("p"), {"a": lambda p: p["a"], "b": lambda p: p["b"]}, [("a", "a"), ("b", "b"), ("a", "b")]).alias("m"))
+    out = {r.id: (r.m, r.r) for r in df.select("id", "m", moment_correlation(F.col("m"), "a", "b").alias("r")).collect()}
+    for i, points in rows:
+        both = np.array([p for p in points if None not in p]).reshape(-1, 2)
+        m, r = out[i]
+        assert m.n == len(both)
+        if len(both) < 2 or i % 5 == 0:
+            assert r is None and (i % 5 or m.s_a_a == 0.0)
+            continue
+        dev = both - both.mean(axis=0)
+        assert np.allclose([m.s_a_a, m.s_b_b, m.s_a_b], [(dev[:, 0] ** 2).sum(), (dev[:, 1] ** 2).sum(), dev.prod(axis=1).sum()], rtol=1e-6, atol=1e-6)
+        assert r == pytest.approx(np.corrcoef(both.T)[0, 1], abs=1e-7)
+
+
+def test_years_of_a_pair_never_become_rows(spark):
+    from panelspark.operators import correlate
+
+    rows = [(f"U{u}", i, y, float((u * 7 + y * y + ord(i)) % 11)) for u in range(4) for i in "abc" for y in range(2000, 2015) if (u + y) % 6]
+    g = spark.createDataFrame(rows, "unit string, indicator string, year int, growth double")
+    edges = spark.createDataFrame([("a", "b", "contemporaneous", 0.01)], "indicator_a string, indicator_b string, relationship string, q_value double")
+    for df in (correlate.pooled_lags(g), correlate.granger(g), correlate.local_correlations(g, edges),
+               correlate.correlation_matrix(g.withColumnRenamed("growth", "value"), 5)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "inline" not in plan and df.count() > 0
