@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 TRAIN_PAGES = 300          # pages of a fit, those with the smallest hashed ids
-TRAIN_BLOCKS = 120         # blocks of a page that the fit reads; extraction reads all
+TRAIN_PAGE_BYTES = 200_000 # longer pages are not used for a fit; those used are read whole
 PATHS, WORDS = 1 << 11, 1 << 12
 DIM, HIDDEN = 12, 16
 EPOCHS, BATCH, RATE = 8, 16, 0.12
@@ -48,8 +48,10 @@ PARTS = ("aside|div.sidebar|section.comments|div.comment|ol.comment-list li.comm
          "div#cookie-consent|div.related-posts|div.share|ul.breadcrumb li|div.ad|div.advertisement|header|header.masthead|footer|"
          "div#footer|nav|nav.menu ul li|div.pagination|div.login|div.popup|div.promo|div.banner|div#comments|div.respond").split("|")
 
-_TAG = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>|"
-                  r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S | re.I)
+# A quote opens a value only after "="; one that is never closed ends at the next ">". Nothing is read twice.
+_VALUE = r"""=\s*+(?:"[^"]*+"|'[^']*+'|["'][^>]*+|[^\s>"'][^\s>]*+)?+"""
+_TAG = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*+(?:>|\Z)|"
+                  rf"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|{_VALUE})*+)(?:>|\Z)|(?P<text>[^<]+|<)", re.S | re.I)
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW.split("|")}
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -67,11 +69,6 @@ class _Slots(dict):
         return slot
 
 
-def _next(html: str, at: int) -> re.Match | None:
-    """The token at a place, or the next one after what is none."""
-    return _TAG.match(html, at) or _TAG.search(html, at)
-
-
 def leaf_blocks(html: str | None) -> list[tuple[tuple[str, ...], str]]:
     """(path, text) of every block with text, in page order. A path names open elements, with classes and ids."""
     out, stack, names, text = [], [], [], []
@@ -85,7 +82,7 @@ def leaf_blocks(html: str | None) -> list[tuple[tuple[str, ...], str]]:
 
     html = html or ""
     at = 0
-    while m := _next(html, at):
+    while m := _TAG.match(html, at):
         at = m.end()
         kind = m.lastgroup
         if kind == "text":
@@ -318,17 +315,17 @@ def _varied(blocks, labels, rng, texts):
                       for _ in range(int(rng.integers(1, 5)))]
     if rng.random() < 0.3:
         out = [((tuple("div" if e.split()[0] in ARTICLE else e for e in path), text), label) for (path, text), label in out]
-    blocks, labels = zip(*out[:TRAIN_BLOCKS]) if out else ((), ())
+    blocks, labels = zip(*out) if out else ((), ())
     return list(blocks), list(labels)
 
 
 def fit(pages: list[str | None], seed: int = 11) -> Model:
     """The labeller trained on the pages' own part names and on varied copies. No known part: the untrained model."""
     model, encoder, rng = new_model(seed), Encoder(), np.random.default_rng(seed)
-    parsed = [leaf_blocks(p)[:TRAIN_BLOCKS] for p in pages]
+    parsed = [leaf_blocks(p) for p in pages]
     labelled = [(b, [known_label(path) for path, _ in b]) for b in parsed]
     labelled = [(b, y) for b, y in labelled if any(v is not None for v in y)]
-    texts = sorted({text[:300] for b, y in labelled for (_, text), v in zip(b, y) if v is not None})
+    texts = sorted({text for b, y in labelled for (_, text), v in zip(b, y) if v is not None})
     memory = [np.full_like(v, 1e-4) for v in [*model.tables, *model.cells, model.out]]
     for _ in range(EPOCHS if labelled else 0):
         made = []
@@ -342,11 +339,17 @@ def fit(pages: list[str | None], seed: int = 11) -> Model:
     return model
 
 
-def train(pages: DataFrame, limit: int = TRAIN_PAGES) -> Model:
-    """The labeller fitted on at most limit pages."""
-    key = F.xxhash64("page_id", F.substring("html", 1, 200))
-    picked = pages.where("html is not null").select(key.alias("k"), F.col("html").cast("string").alias("html")).orderBy(
-        "k", "html").limit(limit)
+def train(pages: DataFrame, limit: int = TRAIN_PAGES, page_bytes: int = TRAIN_PAGE_BYTES) -> Model:
+    """The labeller fitted on at most limit pages of at most page_bytes each, so that the driver gets no more than their product.
+
+    The pages with the smallest hashes are taken; equal ones count once. Null and empty pages teach nothing.
+    """
+    given = pages.select(F.col("html").cast("string").alias("html")).where(f"octet_length(html) between 1 and {int(page_bytes)}")
+    given = given.select(F.xxhash64("html").alias("k"), "html")
+    last = given.select("k").distinct().orderBy("k").limit(limit).agg(F.max("k")).first()[0]
+    if last is None:
+        return fit([])
+    picked = given.where(F.col("k") <= last).groupBy("k").agg(F.min("html").alias("html")).orderBy("k")
     return fit([r["html"] for r in picked.collect()])
 
 

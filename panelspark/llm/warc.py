@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.llm.common import whole
-from panelspark.session import checkpoint_dir, cut_lineage
+from panelspark.session import cut_lineage, scratch_folder
 
 MIN_SHARED_BYTES = 0        # smaller payloads are never replaced by revisits
 FILE_RECORDS = 5_000        # records of an archive
@@ -211,10 +211,11 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Archives of the pages under the shared folder, normalised, then read back.
 
     Defined results: a null html is an empty payload, null urls and ids come back as null; repeated rows
-    each have a record; an empty table gives no record; other columns are not read.
+    each have a record; an empty table gives no record; other columns are not read. The folder goes with the
+    intermediate_tables() block around the call.
     """
     spark = pages.sparkSession
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/panelspark-warc-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark)
     write_archives(pages, f"{folder}/raw")
     normalise(spark, f"{folder}/raw", f"{folder}/members")
     return read_archives(spark, f"{folder}/members")

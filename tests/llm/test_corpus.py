@@ -342,6 +342,42 @@ def test_rules_lie_under_their_rarest_token():
     assert {t: [r.name for r in rs] for t, rs in index.items()} == {"net": ["example.net/en/"], "bets": ["free-bets"]} or set(index) == {"net", "free"}
 
 
+def test_tokens_are_those_a_pattern_demands(spark):
+    """Every match holds the derived tokens, and the index finds what every rule on every URL finds."""
+    import random
+
+    derive = url_filter.literal_tokens
+    assert derive(r"^a(b)?c\.") == () and derive("x|/y/") == () and derive(r"/fo+/bar/") == ("bar",) and derive(r"/foo?/") == ()
+    assert derive(r"/(?:a|b)/foo-bar$") == ("foo", "bar") and derive(r"[.-]net[.-]?x") == () and derive("casino") == () and derive(r"/A\.b/") == ("a", "b")
+    draw = random.Random(9)
+    bits = ["a", "b", "ab", "net", r"\.", "/", "-", "[.-]", "?", "+", "*", "{2}", "(?:a|b)", r"\d", ".", "^", "$", "(?![a-z0-9])", "(?<![^.])", "(?=/)", "|", "[^/]", "1"]
+    rules, urls = [], []
+    while len(rules) < 250:
+        pattern = "".join(draw.choice(bits) for _ in range(draw.randint(1, 6)))
+        try:
+            re.compile(pattern)
+        except re.error:
+            continue
+        rules.append(url_filter.Rule(f"r{len(rules):03}", "block", pattern))
+    rules += [url_filter.path_rule("/b/*/net/"), url_filter.Rule("net/", "allow", url_filter.host_rule("allow", "net/").pattern, 4)]
+    for i in range(300):
+        urls.append("http://" + "".join(draw.choice(["a", "b", ".", "net", "-", "1", "A"]) for _ in range(draw.randint(1, 6))) + "/"
+                    + "".join(draw.choice(["a", "B", "ab", "/", "net", "-", ".", "1"]) for _ in range(draw.randint(0, 8))))
+    for r in rules:
+        for u in urls[:80]:
+            m = re.search(r.pattern, "".join(url_filter.split_url(u)), re.S)
+            assert m is None or set(r.tokens) <= set(re.findall("[a-z0-9]+", "".join(url_filter.split_url(u)).lower())), (r, u)
+    for some in (rules, rules[:1], [r for r in rules if not r.tokens][:5], []):
+        out = url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), some).collect()
+        for r in out:
+            full = "".join(url_filter.split_url(urls[r.page_id]))
+            fits = [x for x in some if re.search(x.pattern, full, re.S)]
+            best = next((x for x in fits if x.length), None)
+            words = sorted(x.name for x in fits if not x.length)
+            want = (best.name, best.verdict, None) if best else (None, "block" if words else "allow", words[0] if words else None)
+            assert (r.rule, r.verdict, r.pattern) == want
+
+
 def test_quality_model_on_held_out_rows(spark):
     import numpy as np
 
@@ -398,6 +434,9 @@ def test_gradient_of_the_block_labeller():
 
 
 @pytest.mark.parametrize("html, texts", [
+    ("<article><p title='it's'>Hello don't go</p><p>second</p></article>", ["Hello don't go", "second"]),
+    ('<p>a<a href="x>link</a></p><p>b</p>', ["alink", "b"]), ("<p a = \"x>y\" b='<q>' c=d/e>one</p><p>1 < 2</p", ["one", "1 < 2"]),
+    ("<p>x" + "<a<b" * 30_000, ["x"]), ("<p " + "a='" * 30_001 + ">t</p>", ["t"]), ("<p>" + "<!a" * 30_000 + ">u", ["u"]),
     ("<article><p>one</p><p>icon <svg/> two</p><p>three</p>", ["one", "icon two", "three"]),
     ("<p>a <svg class=x><title/><path d='M0'/></svg> b</p><p>c</p>", ["a b", "c"]),
     ("<p>let <math><mi>x</mi><mspace/></math> be</p>", ["let x be"]),
