@@ -26,7 +26,7 @@ SHARE = 1.5              # words of the mix per word of the input
 EPOCHS = 2               # a source gives at most this many times its words
 BLOCK = 256              # words of a block
 SHARD_SLOTS = 1024       # blocks of an output shard
-PIECE = 4_000            # documents whose running sum one task builds, on average
+PIECE = 1_000            # documents whose running sum one task builds, on average
 SLOT_PIECE = 10_000      # slots made from one row
 SLOT_TASKS = 4_096       # tasks that make them, at most
 _ROUNDS = 16
