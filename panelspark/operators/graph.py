@@ -91,7 +91,7 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = F.explode(F.array(F.struct(F.col("src_type").alias("node_type"), F.col("src_ref").alias("ref_id")),
                              F.struct(F.col("dst_type").alias("node_type"), F.col("dst_ref").alias("ref_id"))))
     degree = arcs.select(ends.alias("_e")).groupBy("_e.node_type", "_e.ref_id").agg(F.count(F.lit(1)).alias("degree"))
-    others = nodes.agg(F.count(F.lit(1)) - 1).scalar()
+    others = nodes.select("ref_id").agg(F.count(F.lit(1)) - 1).scalar()
     return (nodes.join(degree, NODE, "left")
             .withColumn("degree", F.coalesce("degree", F.lit(0)))
             .withColumn("centrality", F.coalesce(F.try_divide(F.col("degree").cast("double"), others), F.lit(1.0))))
@@ -180,36 +180,53 @@ def propagate(edges: DataFrame, sources: DataFrame, *, shock: float = 1.0, max_h
     graph is split (e.g. per unit). With |weight| <= 1 and 0 < decay <= 1 the
     result is the strongest walk of at most ``max_hops`` arcs.
 
-    A hop joins only the nodes reached in the hop before with the arcs, and one aggregation
-    sets their offers against what is already held. The state is written out per hop,
-    since the next hop reads it twice.
+    A hop joins the nodes improved in the hop before with the arcs, and one aggregation sets their offers
+    against what is held; only the nodes it improves are written. A row names its predecessor, not its
+    path: paths are put together by joins at the end, for the rows of the result. Ties go to the
+    earlier hop, then to the predecessor that comes first.
     """
     if not 0 < decay <= 1:
         raise ValueError("decay must be in (0, 1]")
     keys = list(by)
     kept = edges.where(~is_variant(F.col("indicator_a"), F.col("indicator_b"))) if drop_variants else edges
     steps = cut_lineage(arcs(kept, edge_floor, keys))
-    state = sources.select(*keys, "source", F.col("source").alias("node"), F.lit(0).alias("hop"),
-                           F.lit(float(shock)).alias("activation"), F.array("source").alias("path"),
-                           F.lit(True).alias("directed")).distinct()
-    fields = ["hop", "activation", "path", "directed"]
+    fields = ["hop", "activation", "directed", "prev"]
+    frontier = sources.select(*keys, "source", F.col("source").alias("node"), F.lit(0).alias("hop"), F.lit(float(shock)).alias("activation"),
+                              F.lit(True).alias("directed"), F.lit(None).cast("string").alias("prev")).distinct()
     moves = steps.select(*keys, F.col("src").alias("node"), F.col("dst").alias("_dst"), F.col("weight").alias("_w"),
                          F.col("directed").alias("_d"))
     passed = F.col("activation") * F.col("_w") * decay
+    order = F.struct(-F.abs("activation"), F.col("hop"), F.col("prev"))
+    held = frontier
+
+    def strongest(arrivals: DataFrame) -> DataFrame:
+        return arrivals.groupBy(*keys, "source", "node").agg(F.min_by(F.struct(*fields), order).alias("_s")).select(
+            *keys, "source", "node", "_s.*")
+
     for hop in range(1, max_hops + 1):
-        frontier = state.where(F.col("hop") == hop - 1)
         offers = frontier.join(moves, [*keys, "node"]).where(F.abs(passed) >= threshold).select(
             *keys, "source", F.col("_dst").alias("node"), F.lit(hop).alias("hop"), passed.alias("activation"),
-            F.concat("path", F.array("_dst")).alias("path"), (F.col("directed") & F.col("_d")).alias("directed"))
-        state = cut_lineage(state.unionByName(offers).groupBy(*keys, "source", "node").agg(
-            F.min_by(F.struct(*fields), F.struct(-F.abs("activation"), F.col("hop"), F.col("path"))).alias("_s"))
-            .select(*keys, "source", "node", "_s.*"))
-    reached = state.where(F.col("node") != F.col("source"))
+            (F.col("directed") & F.col("_d")).alias("directed"), F.col("node").alias("prev"))
+        frontier = cut_lineage(strongest(held.unionByName(offers)).where(F.col("hop") == hop))
+        held = held.unionByName(frontier)
+    reached = strongest(held).where(F.col("node") != F.col("source"))
     if drop_variants:
         reached = reached.where(~is_variant(F.col("node"), F.col("source")))
-    inner = F.slice("path", F.lit(2), F.greatest(F.size("path") - 2, F.lit(0)))
-    return reached.select(*keys, "source", "node", "hop", "activation", F.concat_ws(ARROW, inner).alias("via"),
-                          F.concat_ws(ARROW, "path").alias("path"), "directed")
+    # held has a row per (source, node, hop) that was ever passed on from.
+    out = reached.withColumn("_path", F.array("node")).withColumn("_at", F.col("prev"))
+    for back in range(1, max_hops):
+        earlier = held.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("source").alias("_source"), F.col("node").alias("_node"),
+                              F.col("hop").alias("_hop"), F.col("prev").alias("_next"))
+        same = (F.col("_source") == F.col("source")) & (F.col("_node") == F.col("_at")) & (F.col("_hop") == F.col("hop") - back)
+        for k in keys:
+            same = same & F.col(f"_{k}").eqNullSafe(F.col(k))
+        out = out.join(earlier, same, "left").withColumn("_path", F.when(F.col("_at").isNotNull(), F.concat(
+            F.array("_at"), "_path")).otherwise(F.col("_path"))).withColumn("_at", F.col("_next")).drop(
+                "_source", "_node", "_hop", "_next", *[f"_{k}" for k in keys])
+    path = F.when(F.col("_at").isNotNull(), F.concat(F.array("_at"), "_path")).otherwise(F.col("_path"))
+    inner = F.slice(path, F.lit(2), F.greatest(F.size(path) - 2, F.lit(0)))
+    return out.select(*keys, "source", "node", "hop", "activation", F.concat_ws(ARROW, inner).alias("via"),
+                      F.concat_ws(ARROW, path).alias("path"), "directed")
 
 
 def collapse_variants(reached: DataFrame, by: Sequence[str] = ()) -> DataFrame:

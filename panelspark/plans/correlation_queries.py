@@ -238,13 +238,24 @@ _EDGE_COLS = ["indicator_a", "indicator_b", "relationship", "weight", "p_value",
 
 
 @register("c11_mine_edges", f"""
-    SELECT {', '.join(_EDGE_COLS)}, (SELECT count(*) FROM unit_lags u WHERE u.indicator_a = m.indicator_a
-      AND u.indicator_b = m.indicator_b AND u.test = m.relationship) AS n_evidence FROM mined m""",
-    floats="weight p_value q_value")
+    SELECT {', '.join('m.' + c for c in _EDGE_COLS)}, u.unit, round(u.r, 4) AS correlation, u.n AS n_years,
+           p_a_to_b AS granger_p_a_to_b, p_b_to_a AS granger_p_b_to_a
+    FROM mined m JOIN unit_lags u ON u.indicator_a = m.indicator_a AND u.indicator_b = m.indicator_b
+      AND u.test = m.relationship
+    LEFT JOIN gr ON m.relationship <> 'contemporaneous' AND gr.indicator_a = m.indicator_a
+      AND gr.indicator_b = m.indicator_b AND gr.unit = u.unit""",
+    floats="weight p_value q_value correlation granger_p_a_to_b granger_p_b_to_a", digits=4)
 def _(spark, sf_dir):
+    """Every edge with the evidence of every unit behind it."""
     mined = cor.mine_edges(growths(spark, sf_dir))
-    evidence = mined.evidence.groupBy(*cor.PAIR).agg(F.count(F.lit(1)).alias("n_evidence"))
-    return mined.edges.join(evidence, cor.PAIR).select(*_EDGE_COLS, "n_evidence")
+    evidence = mined.evidence.drop("relationship")
+    return mined.edges.select(*_EDGE_COLS).join(evidence, cor.PAIR).select(
+        *_EDGE_COLS, "unit", "correlation", "n_years", "granger_p_a_to_b", "granger_p_b_to_a")
+
+
+def stored_edges(spark, sf_dir):
+    """The mined edges as a stored table: mined once, read by the queries on the graph."""
+    return tables.stored(spark, sf_dir, "correlation_edge", lambda: cor.mine_edges(growths(spark, sf_dir)).edges)
 
 
 def brand_domains(spark, sf_dir):
@@ -261,16 +272,14 @@ def brand_domains(spark, sf_dir):
            n_units
     FROM mined JOIN dom da ON da.b = indicator_a JOIN dom db ON db.b = indicator_b""", floats="weight q_value")
 def _(spark, sf_dir):
-    edges = cor.mine_edges(growths(spark, sf_dir)).edges
-    return cor.edge_listing(edges, brand_domains(spark, sf_dir))
+    return cor.edge_listing(stored_edges(spark, sf_dir), brand_domains(spark, sf_dir))
 
 
 @register("c13_local_correlations", """
     SELECT * FROM local_r""",
     floats="correlation p_value q_value")
 def _(spark, sf_dir):
-    g = growths(spark, sf_dir)
-    return cor.local_correlations(g, cor.mine_edges(g).edges)
+    return cor.local_correlations(growths(spark, sf_dir), stored_edges(spark, sf_dir))
 
 
 @register("c14_correlation_matrix", f"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.text import is_variant
 from panelspark.operators import correlate as cor, forecast as fc, graph as gr, series as ser
 from panelspark.plans import tables
-from panelspark.plans.correlation_queries import growths
+from panelspark.plans.correlation_queries import growths, stored_edges
 from panelspark.plans.registry import register
 from panelspark.plans.sql_forecast import forecast_sql, predictions
 from panelspark.plans.sql_tables import CTES
@@ -84,10 +84,6 @@ def _(spark, sf_dir):
     return _edges(spark, sf_dir)
 
 
-def _mined(spark, sf_dir):
-    return cor.mine_edges(growths(spark, sf_dir)).edges
-
-
 @register("n3_correlation_edges", """
     SELECT 'indicator' AS src_type, CAST(substr(coalesce(leader, indicator_a), 7) AS INTEGER) AS src_ref,
            'indicator' AS dst_type, CAST(substr(coalesce(follower, indicator_b), 7) AS INTEGER) AS dst_ref,
@@ -95,7 +91,7 @@ def _mined(spark, sf_dir):
 def _(spark, sf_dir):
     brands = tables.table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct().withColumn(
         "id", F.substring("name", 7, 10).cast("int"))
-    return gr.correlation_edges(_mined(spark, sf_dir), brands)
+    return gr.correlation_edges(stored_edges(spark, sf_dir), brands)
 
 
 @register("n4_degree_centrality", "SELECT * FROM centrality", floats="centrality", digits=9)
@@ -151,7 +147,7 @@ def _(spark, sf_dir):
              indicator_a, direction <> 'undetermined' AS directed FROM mined WHERE abs(weight) >= 0.15)
     WHERE direction = 'undetermined' OR (direction = 'a_leads_b') = (x = indicator_a)""", floats="weight")
 def _(spark, sf_dir):
-    return gr.arcs(_mined(spark, sf_dir), 0.15)
+    return gr.arcs(stored_edges(spark, sf_dir), 0.15)
 
 
 @register("n8_is_variant", r"""
@@ -177,7 +173,7 @@ def _sources(spark, sf_dir):
 
 
 def _propagated(spark, sf_dir):
-    return gr.propagate(_mined(spark, sf_dir), _sources(spark, sf_dir), **_SHOCK)
+    return gr.propagate(stored_edges(spark, sf_dir), _sources(spark, sf_dir), **_SHOCK)
 
 
 _WALK = """
@@ -224,25 +220,24 @@ def _(spark, sf_dir):
       FROM local_r JOIN stems sa ON sa.name = indicator_a JOIN stems sb ON sb.name = indicator_b
       WHERE NOT starts_with(sa.stem, sb.stem) AND NOT starts_with(sb.stem, sa.stem) AND abs(correlation) >= 0.5),
     walk AS (
-      SELECT u.unit, b.name AS source, b.name AS node, 0 AS hop, 1.0::DOUBLE AS activation
+      SELECT u.unit, b.name AS source, b.name AS node, 0 AS hop, 1.0::DOUBLE AS activation, [b.name] AS path
       FROM (SELECT DISTINCT unit FROM brand) u, stems b
       UNION ALL
-      SELECT w.unit, w.source, a.dst, w.hop + 1, w.activation * a.weight * 0.6
+      SELECT w.unit, w.source, a.dst, w.hop + 1, w.activation * a.weight * 0.6, list_append(w.path, a.dst)
       FROM walk w JOIN arc a ON a.unit = w.unit AND a.src = w.node
       WHERE w.hop < 2 AND abs(w.activation * a.weight * 0.6) >= 0.05)
-    SELECT unit, source, node, hop, activation FROM (
+    SELECT unit, source, node, hop, activation, array_to_string(path[2:-2], ' → ') AS via,
+           array_to_string(path, ' → ') AS path, false AS directed FROM (
       SELECT w.* FROM walk w JOIN stems s ON s.name = w.source JOIN stems n ON n.name = w.node
       WHERE w.node <> w.source AND NOT starts_with(s.stem, n.stem) AND NOT starts_with(n.stem, s.stem))
-    QUALIFY row_number() OVER (PARTITION BY unit, source, node ORDER BY abs(activation) DESC, hop) = 1""",
+    QUALIFY row_number() OVER (PARTITION BY unit, source, node ORDER BY abs(activation) DESC, hop, path) = 1""",
           floats="activation", digits=9)
 def _(spark, sf_dir):
     """Every unit's own correlations, every indicator as a source."""
-    g = growths(spark, sf_dir)
-    local = (cor.local_correlations(g, cor.mine_edges(g).edges, limit=None)
+    local = (cor.local_correlations(growths(spark, sf_dir), stored_edges(spark, sf_dir))
              .withColumnRenamed("correlation", "weight").withColumn("direction", F.lit("undetermined")))
     sources = tables.brand_frame(spark, sf_dir).select("unit", F.col("indicator").alias("source")).distinct()
-    return gr.propagate(local, sources, max_hops=2, edge_floor=0.5, by=["unit"]).select(
-        "unit", "source", "node", "hop", "activation")
+    return gr.propagate(local, sources, max_hops=2, edge_floor=0.5, by=["unit"])
 
 
 # --- forecasts ----------------------------------------------------------------

@@ -113,3 +113,27 @@ def test_communities_against_brute_force(spark):
     want = sum(1 / 7 for a, b in links if labels[a] == labels[b]) - sum(
         (sum(degree[i] for i in near if labels[i] == c) / 14) ** 2 for c in set(labels.values()))
     assert q == pytest.approx(want)
+
+
+def test_paths_are_put_together_over_many_hops(spark):
+    """Every path leads from source to node along arcs, and its weights multiply to the activation; hops shuffle no arrays."""
+    rng = random.Random(3)
+    names = [f"{c}{d}" for c in "pqrs" for d in "xyz"]
+    rows = [(g, a, b, rng.choice([-1, 1]) * rng.uniform(.5, 1), rng.choice(["undetermined", "a_leads_b", "b_leads_a"]))
+            for g in (1, None) for i, a in enumerate(names) for b in names[i + 1:] if rng.random() < .22]
+    arcs = {(g, a, b): (w, d != "undetermined") for g, a, b, w, d in rows if d != "b_leads_a"} | {
+        (g, b, a): (w, d != "undetermined") for g, a, b, w, d in rows if d != "a_leads_b"}
+    df = spark.createDataFrame([r for r in rows if r[0]], f"g int, {EDGES}")
+    sources = spark.createDataFrame([(1, n) for n in names], "g int, source string")
+    got = gr.propagate(df, sources, decay=.9, threshold=.01, max_hops=5, by=["g"])
+    deep = 0
+    for r in got.collect():
+        path = r["path"].split(" → ")
+        assert path[0] == r["source"] and path[-1] == r["node"] and len(path) == r["hop"] + 1 and r["via"] == " → ".join(path[1:-1])
+        product, directed = 1.0, True
+        for a, b in zip(path, path[1:]):
+            w, d = arcs[1, a, b]
+            product, directed = product * w * .9, directed and d
+        assert r["activation"] == pytest.approx(product) and r["directed"] == directed
+        deep += r["hop"] > 3
+    assert deep > 2

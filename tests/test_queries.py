@@ -12,6 +12,10 @@ from oracle_check import compare, connect
 from panelspark.plans import REGISTRY
 
 SF = "/root/testdata/sf0.001"
+# Where the smallest tables have no result to compare: nothing survives the mining of edges there.
+LARGER = "/root/testdata/sf0.01"
+ON_LARGER = {"c11_mine_edges", "c12_edge_listing", "c13_local_correlations", "n3_correlation_edges", "n7_arcs", "n9_propagate",
+             "n10_collapse_variants", "n11_propagate_per_unit"}
 QUICK = ["v1_current_vintage", "v2_best_source", "v5_source_disagreements", "p1_series", "t1_yoy", "t5_trends",
          "a10_headline", "a11_movers", "r1_revisions", "e4_event_study", "e4_point_event_study", "i1_validate",
          "i8_ingestion_summary", "s5_flatten_jsonstat", "d6_rollup", "c6_select_lag", "g2_beta_stats",
@@ -23,12 +27,13 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 
 @pytest.fixture(scope="module")
 def con():
-    return connect(SF)
+    return {sf: connect(sf) for sf in (SF, LARGER)}
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_equals_sql(spark, con, name):
-    assert compare(spark, con, REGISTRY[name], SF) is None
+    sf = LARGER if name in ON_LARGER else SF
+    assert compare(spark, con[sf], REGISTRY[name], sf) is None
 
 
 def test_names_follow_the_inventory():
