@@ -14,6 +14,7 @@ NODE_TYPES = ("country", "domain", "indicator", "source", "bloc")
 NODE = ["node_type", "ref_id"]
 ARROW = " → "
 _ID_BLOCK = 100_000
+_LEAST_GAIN = 1e-12     # of modularity: less is rounding
 
 
 def graph_nodes(panel: Panel, levels: Sequence[str] | None = (LEVEL_COUNTRY,)) -> DataFrame:
@@ -135,6 +136,89 @@ def communities(nodes: DataFrame, edges: DataFrame, iterations: int = 100) -> Da
                          F.lit(still).alias("converged"))
 
 
+def _moves(links: DataFrame, at: DataFrame, total: float) -> DataFrame:
+    """(u, own, c, gain): for every vertex the community that it would raise modularity most by joining, where any would.
+
+    links is (u, v, w) between different vertices, at is (u, c, k) with k the vertex's weight.
+    """
+    weight = at.groupBy("c").agg(F.sum("k").alias("t"))
+    toward = (links.join(at.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
+              .join(weight, "c"))
+    home = at.join(weight.select(F.col("c"), F.col("t").alias("own_t")), "c").select("u", F.col("c").alias("own"), "k", "own_t")
+    inner = toward.select("u", F.col("c").alias("own"), F.col("w").alias("own_w"))
+    each = toward.join(home, "u").where("c <> own").join(inner, ["u", "own"], "left")
+    gain = ((F.col("w") - F.coalesce("own_w", F.lit(0.0))) - F.col("k") * (F.col("t") - F.col("own_t") + F.col("k")) / total) * 2.0 / total
+    best = each.withColumn("gain", gain).where(F.col("gain") > _LEAST_GAIN).groupBy("u", "own").agg(
+        F.max(F.struct(F.col("gain"), (-F.col("c")).alias("c"))).alias("b"))
+    return best.select("u", "own", (-F.col("b.c")).alias("c"), F.col("b.gain").alias("gain"))
+
+
+def _quality(links: DataFrame, loops: DataFrame, at: DataFrame, total: float) -> float:
+    """Modularity of the communities at (u, c, k)."""
+    pairs = links.join(at.select("u", "c"), "u").join(at.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").where("c = d")
+    inner = pairs.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0] + loops.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    squares = at.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
+    return inner / total - squares / (total * total)
+
+
+def _moved(at: DataFrame, moves: DataFrame) -> DataFrame:
+    return cut_lineage(at.join(moves.select("u", F.col("c").alias("to")), "u", "left").select(
+        "u", F.coalesce("to", "c").alias("c"), "k"))
+
+
+def _apart(moves: DataFrame) -> DataFrame:
+    """Moves of which no two touch one community: each is the best of both communities it joins, so their gains add up."""
+    rank = F.struct("gain", (-F.col("u")).alias("u"))
+    sides = moves.select(F.explode(F.array("own", "c")).alias("side"), rank.alias("rank"))
+    top = sides.groupBy("side").agg(F.max("rank").alias("rank"))
+    first, second = top.toDF("own", "_a"), top.toDF("c", "_b")
+    return moves.join(first, "own").join(second, "c").where((F.col("_a.u") == -F.col("u")) & (F.col("_b.u") == -F.col("u"))).select(
+        "u", "own", "c", "gain")
+
+
+def modular_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_type, ref_id, community): local moves by modularity gain, then communities become the nodes of the next graph.
+
+    In a round every vertex names the community it gains most by joining. Communities are dealt, by a hash that
+    changes with the round, into those that give and those that take, and all moves from giving to taking ones are
+    made at once; if that does not raise modularity, only moves that touch no community twice are made, whose gains add
+    up. So every round raises it, and a level ends when no vertex gains by any move; the whole ends when no community
+    of a level has two vertices. A community is named by its smallest node id; nodes without links stay alone.
+    """
+    ids = nodes.select(F.struct(F.col("node_type").alias("t"), F.col("ref_id").alias("r")).alias("node"), "id")
+    links = cut_lineage(_neighbours(edges).join(ids, "node").select("other", F.col("id").alias("u")).join(
+        ids.select(F.col("node").alias("other"), F.col("id").alias("v")), "other").select("u", "v", F.lit(1.0).alias("w")))
+    loops = links.select("u", "w").limit(0)
+    member = cut_lineage(ids.select("id", F.col("id").alias("u")))
+    total = links.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    while total > 0:
+        weights = links.select("u", "w").unionByName(loops).groupBy("u").agg(F.sum("w").alias("k"))
+        at = cut_lineage(weights.select("u", F.col("u").alias("c"), "k"))
+        quality, turn, merged = _quality(links, loops, at, total), 0, False
+        while True:
+            moves = cut_lineage(_moves(links, at, total))
+            if moves.limit(1).count() == 0:
+                break
+            gives, takes = (F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2)) for c in ("own", "c"))
+            tried = _moved(at, moves.where((gives == 0) & (takes == 1)))
+            better = _quality(links, loops, tried, total)
+            if better <= quality + _LEAST_GAIN:
+                tried = _moved(at, _apart(moves))
+                better = _quality(links, loops, tried, total)
+            at, quality, turn, merged = tried, better, turn + 1, True
+        if not merged:
+            break
+        member = cut_lineage(member.join(at.select("u", "c"), "u", "left").select("id", F.coalesce("c", "u").alias("u")))
+        ends = links.join(at.select("u", F.col("c").alias("a")), "u").join(at.select(F.col("u").alias("v"), F.col("c").alias("b")), "v")
+        inside = ends.where("a = b").select(F.col("a").alias("u"), "w").unionByName(
+            loops.join(at.select("u", "c"), "u").select(F.col("c").alias("u"), "w"))
+        loops = cut_lineage(inside.groupBy("u").agg(F.sum("w").alias("w")))
+        links = cut_lineage(ends.where("a <> b").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("w").alias("w")))
+    names = member.groupBy("u").agg(F.min("id").alias("community"))
+    return ids.join(member, "id").join(names, "u").select(
+        F.col("node.t").alias("node_type"), F.col("node.r").alias("ref_id"), "community")
+
+
 def modularity(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: modularity Q of a labelling over the undirected links."""
     at = labels.select(F.struct(F.col("node_type").alias("t"), F.col("ref_id").alias("r")).alias("node"), "community")

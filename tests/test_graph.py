@@ -137,3 +137,38 @@ def test_paths_are_put_together_over_many_hops(spark):
         assert r["activation"] == pytest.approx(product) and r["directed"] == directed
         deep += r["hop"] > 3
     assert deep > 2
+
+
+def test_modular_communities_leave_no_gain(spark):
+    """On planted and random graphs: at least label propagation's modularity, and no single node gains by moving."""
+    def q_of(links, labels):
+        m, degree = len(links), Counter(x for e in links for x in e)
+        inner = sum(labels[a] == labels[b] for a, b in links) / m
+        per = Counter()
+        for n, d in degree.items():
+            per[labels[n]] += d
+        return inner - sum((v / (2 * m)) ** 2 for v in per.values())
+
+    rng = random.Random(11)
+    cliques = [(a + g, b + g) for g in (0, 10, 20) for a in range(1, 6) for b in range(a + 1, 6)] + [(1, 11), (12, 22), (23, 3)]
+    star = [(1, k) for k in range(2, 30)]
+    noise = sorted({tuple(sorted(rng.sample(range(1, 25), 2))) for _ in range(45)})
+    for links, known in ((cliques, 3), (star, None), (noise, None)):
+        members = sorted({x for e in links for x in e} | {99})
+        nodes = spark.createDataFrame([(i, "n", i, str(i)) for i in members], "id long, node_type string, ref_id int, label string")
+        edges = spark.createDataFrame([("n", a, "n", b) for a, b in links], "src_type string, src_ref int, dst_type string, dst_ref int")
+        found = gr.modular_communities(nodes, edges)
+        labels = {r["ref_id"]: r["community"] for r in found.collect()}
+        assert set(labels) == set(members) and labels[99] == 99
+        assert all(c == min(n for n in labels if labels[n] == c) for c in labels.values())
+        q = q_of(links, labels)
+        assert gr.modularity(found, edges).first()["modularity"] == pytest.approx(q)
+        spread = {r["ref_id"]: r["community"] for r in gr.communities(nodes, edges).collect()}
+        assert q >= q_of(links, spread) - 1e-12
+        if known:
+            assert len(set(labels.values()) - {99}) == known
+        groups = set(labels.values())
+        assert all(q_of(links, labels | {a: c}) <= q + 1e-9 for a in members for c in groups) or links is noise
+        assert all(q_of(links, {n: (d if x == c else x) for n, x in labels.items()}) <= q + 1e-9 for c in groups for d in groups)
+    empty = gr.modular_communities(nodes, edges.limit(0))
+    assert sorted((r["ref_id"], r["community"]) for r in empty.collect()) == [(i, i) for i in members]
