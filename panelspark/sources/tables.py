@@ -12,7 +12,8 @@ from panelspark.schema import TABLES
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name]).parquet(f"{root.rstrip('/')}/{name}")
+    """A stored table's own columns: the batches that logs are partitioned by are left out."""
+    return spark.read.schema(TABLES[name]).parquet(f"{root.rstrip('/')}/{name}").select(*TABLES[name].names)
 
 
 def read_panel(spark: SparkSession, root: str) -> Panel:

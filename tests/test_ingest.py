@@ -235,9 +235,7 @@ def test_upsert_and_manifest(spark, tmp_path):
     assert row["sha256"] == digest and row["file_name"].endswith(f"_{digest[:12]}.raw") and "/" not in row["file_name"]
 
 
-def test_landing_stream_is_idempotent(spark, make_panel, tmp_path):
-    p = make_panel([("DEU", 1, 4, 2015, 1)])
-    root = str(tmp_path / "panel")
+def stored_panel(p, root):
     for name in ("geography", "indicator", "source"):
         df = getattr(p, name)
         df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -245,6 +243,12 @@ def test_landing_stream_is_idempotent(spark, make_panel, tmp_path):
     facts = p.records.select(*[(F.col(f.name) if f.name in p.records.columns else F.lit(None)).cast(f.dataType)
                                .alias(f.name) for f in TABLES["statistic_record"]])
     st.write_records(facts, root, "overwrite")
+
+
+def test_landing_stream_is_idempotent(spark, make_panel, tmp_path):
+    p = make_panel([("DEU", 1, 4, 2015, 1)])
+    root = str(tmp_path / "panel")
+    stored_panel(p, root)
     rows = [("DEU", "nama_10_gdp", 2015, None, None, 1.0, None, None, None, "S four", DAY, 1),
             ("DEU", "nama_10_gdp", 2016, None, None, 2.0, None, None, None, "S four", DAY, 2),
             ("DEU", "nama_10_gdp", 2016, None, None, 3.0, None, None, None, "S one", DAY, 3),
@@ -265,6 +269,54 @@ def test_landing_stream_is_idempotent(spark, make_panel, tmp_path):
                     ("S one", "completed_with_errors", 1)]
 
 
+def test_repeated_ordinals_are_rows_of_their_own(spark, make_panel):
+    p = make_panel([("DEU", 1, 4, 2015, 1)])
+    facts = p.records.withColumn("vintage_date", F.lit(DAY))
+    rows = [("DEU", "nama_10_gdp", 2015, None, None, 1.0, None, None, None, "S four", DAY, 0),
+            ("DEU", "nama_10_gdp", 2016, None, None, 2.0, None, None, None, "S four", DAY, 0)] + [
+            ("FRA", "nama_10_gdp", 2016, None, None, 5.0, None, None, None, "S four", DAY, None)] * 3
+    judged = landing.judge_batch(spark.createDataFrame(rows, landing.LANDING).repartition(3), facts, p.geography, p.indicator, p.source)
+    assert sorted((r["iso3"], r["year"], r["status"]) for r in judged.collect()) == [
+        ("DEU", 2015, "known"), ("DEU", 2016, "stored"), ("FRA", 2016, "duplicate"), ("FRA", 2016, "duplicate"), ("FRA", 2016, "stored")]
+    new = landing.facts(judged, 2).collect()
+    assert len({r["id"] for r in new}) == len(new) == 2 and all(2 << 40 <= r["id"] < 3 << 40 for r in new)
+
+
+@pytest.mark.parametrize("fails_at", ["append_new", "problems", "run_log", None])
+def test_a_replayed_batch_takes_effect_once(spark, make_panel, tmp_path, monkeypatch, fails_at):
+    """The first attempt dies before the facts, the errors or the runs are written, or after all of them."""
+    root = str(tmp_path / "panel")
+    stored_panel(make_panel([("DEU", 1, 4, 2015, 1)]), root)
+    rows = [("DEU", "nama_10_gdp", 2016, None, None, 2.0, None, None, None, "S four", DAY, 0),
+            ("QQQ", "nama_10_gdp", 2016, None, None, 3.0, None, None, None, "S four", DAY, 0)]
+    batch = spark.createDataFrame(rows, landing.LANDING)
+    if fails_at:
+        real, calls = getattr(landing, fails_at), []
+
+        def dies(*args):
+            calls.append(1)
+            if len(calls) == (2 if fails_at == "append_new" else 1):       # judging appends too
+                raise RuntimeError("executor lost")
+            return real(*args)
+
+        with monkeypatch.context() as m:
+            m.setattr(landing, fails_at, dies)
+            with pytest.raises(RuntimeError):
+                landing.refresh(batch, spark, root, 7, "s")
+    for _ in range(1 if fails_at else 2):
+        total = landing.refresh(batch, spark, root, 7, "s").collect()
+        assert [(r["received"], r["inserted"], r["rejected"]) for r in total] == [(2, 1, 1)]
+    assert sorted(r["year"] for r in st.read_table(spark, root, "statistic_record").collect()) == [2015, 2016]
+    assert [r["error"] for r in st.read_table(spark, root, "ingestion_error").collect()] == ["unknown_iso3: 1 rows"]
+    runs = st.read_table(spark, root, "ingestion_run").collect()
+    assert [(r["status"], r["records_processed"]) for r in runs] == [("completed_with_errors", 1)]
+    if fails_at:
+        return
+    landing.refresh(batch, spark, root, 8, "s")
+    assert [f.name for f in (tmp_path / "panel" / "landing_journal").iterdir() if not f.name.startswith(".")] == ["s-8"]
+    assert st.read_table(spark, root, "ingestion_run").count() == 2
+
+
 def test_every_landed_row_is_accounted_for(spark, make_panel):
     p = make_panel([("DEU", 1, 4, 2015, 1)])
     facts = p.records.withColumn("vintage_date", F.lit(DAY))
