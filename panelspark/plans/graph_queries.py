@@ -132,12 +132,6 @@ def _(spark, sf_dir):
     return gr.modularity(gr.communities(_nodes(spark, sf_dir), edges, iterations=5), edges)
 
 
-@register("n5_modular_communities")
-def _(spark, sf_dir):
-    """Louvain communities. No SQL: the rounds depend on gains; the tests hold them against all single moves and merges."""
-    return gr.modular_communities(_nodes(spark, sf_dir), _edges(spark, sf_dir))
-
-
 @register("n6_top_central", _label_rounds(3) + """
     SELECT label, c.node_type, c.ref_id, centrality, community FROM centrality c
     JOIN lab3 ON lab3.node = (c.node_type, c.ref_id) ORDER BY degree DESC, c.node_type, c.ref_id LIMIT 12""",
