@@ -88,15 +88,19 @@ def headline(latest_df: DataFrame, indicators: Sequence[str] = PROFILE_INDICATOR
     """Value, rank (high to low, unit code breaks ties), field size and median.
 
     One indicator may hold a third of all units, and a third of those the same
-    value, so ranks and medians come from bucketed counts. The rows are read
-    several times, hence written out first.
+    value, so ranks and medians come from banded counts, and only rows that tie
+    are put in order by their code. The rows are read several times, hence written out first.
     """
     rows = cut_lineage(latest_df.where(F.col("indicator").isin(list(indicators)) & F.col("value").isNotNull())
                        .select("unit", "indicator", "value", "value_unit", "period"))
     counts = cumulative_counts(rows, ["indicator"], "value")
     medians = medians_from_counts(counts, ["indicator"], "value").select("indicator", "median")
+    sizes = rows.groupBy("indicator", "value").agg(F.count(F.lit(1)).alias("_same"))
+    marked = rows.join(sizes, ["indicator", "value"])
+    tied = tie_positions(marked.where(F.col("_same") > 1), ["indicator", "value"], "unit")
+    placed = marked.where(F.col("_same") == 1).withColumn("position", F.lit(1)).unionByName(tied)
     rank = F.col("n_total") - F.col("n_less") - F.col("n_ties") + F.col("position")
-    return (tie_positions(rows, ["indicator", "value"], "unit").join(counts, ["indicator", "value"]).join(medians, "indicator")
+    return (placed.join(counts, ["indicator", "value"]).join(medians, "indicator")
             .select("unit", "indicator", "value", "value_unit", "period", rank.alias("rank"),
                     F.col("n_total").alias("of"), "median"))
 

@@ -178,7 +178,7 @@ def test_timeline_keeps_every_magnitude(spark, small, big):
 
 
 def test_ranks_spread_over_the_tasks(spark):
-    """Close values and codes with one long common prefix fall into ranges of like size."""
+    """Close values fall into many bands, and codes with one long common prefix are placed right."""
     from panelspark.functions import ranking
 
     old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
@@ -187,9 +187,9 @@ def test_ranks_spread_over_the_tasks(spark):
     try:
         close = spark.range(200_000).select(F.lit("g").alias("g"), (F.lit(100.0) + F.col("id") * 5e-7).alias("v"))
         codes = spark.range(100_000).select(F.lit("g").alias("g"), F.concat(F.lit("COMMONPREFIX"), F.lpad("id", 9, "0")).alias("c"))
-        for df, order in ((close, ("g", "v")), (codes, ("g", "c"))):
-            sizes = [r["count"] for r in ranking._in_ranges(df, *order).groupBy("_part").count().collect()]
-            assert len(sizes) >= 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+        for df in (close, close.withColumn("v", -F.col("v") * 1e-200), close.withColumn("v", F.col("v") * 1e200)):
+            bands = ranking._counts(df, ["g"], "v").groupBy("_coarse", "_fine").count()
+            assert bands.agg(F.max("count")).first()[0] < 100
         counts = ranking.cumulative_counts(close, ["g"], "v").agg(F.max("n_less"), F.min("n_less"), F.max("n_total")).first()
         assert tuple(counts) == (199_999, 0, 200_000)
         placed = ranking.tie_positions(codes, ["g"], "c").where("position <> cast(right(c, 9) as int) + 1").count()
@@ -253,3 +253,41 @@ def test_years_of_a_pair_never_become_rows(spark):
                correlate.correlation_matrix(g.withColumnRenamed("growth", "value"), 5)):
         plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
         assert "inline" not in plan and df.count() > 0
+
+
+def test_bands_order_like_the_values(spark):
+    """Every double, whatever its sign and size, is ranked, and the median is exact, against brute force."""
+    from panelspark.functions import ranking
+
+    rng = random.Random(11)
+    tiny, inf = 5e-324, float("inf")
+    pool = [0.0, -0.0, tiny, -tiny, 2 * tiny, 1.0, math.nextafter(1.0, 2), math.nextafter(1.0, 0), -1.0, 1.7e308, -1.7e308, inf, -inf]
+    pool += [s * math.exp(k / 256) * (1 + d) for s in (-1, 1) for k in (-9, 0, 1, 700) for d in (-1e-16, 0, 1e-16, 1e-9)]
+    rows = [(g, rng.choice(pool)) for g in (None, "a", "b") for _ in range(150)] + [("a", None), ("c", 3.5), ("d", 1.0), ("d", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    seen = 0
+    for r in ranking.cumulative_counts(df, ["g"], "v").collect():
+        mine = [v for g, v in rows if g == r["g"] and v is not None]
+        assert (r["n_less"], r["n_ties"], r["n_total"]) == (sum(v < r["v"] for v in mine), mine.count(r["v"]), len(mine))
+        seen += 1
+    assert seen == sum(len({v for g, v in rows if g == k and v is not None}) for k in (None, "a", "b", "c", "d"))
+    got = {r["g"]: (r["median"], r["n_total"]) for r in ranking.group_median(df, ["g"], "v").collect()}
+    for g in (None, "a", "b", "c", "d"):
+        mine = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g] == ((mine[(len(mine) - 1) // 2] + mine[len(mine) // 2]) / 2, len(mine))
+    assert ranking.group_median(df.where("false"), ["g"], "v").count() == 0
+    whole = spark.createDataFrame([(k,) for k in (5, -3, 5, 8)], "v long").withColumn("g", F.lit(1))
+    assert ranking.group_median(whole, ["g"], "v").first()["median"] == 5.0
+
+
+def test_false_discovery_rate_over_many_bands(spark):
+    rng = random.Random(2)
+    ps = [10 ** -rng.uniform(0, 12) for _ in range(3000)] + [0.0] * 4 + [1.0] * 4
+    got = benjamini_hochberg(spark.createDataFrame(list(enumerate(ps)), "i int, p double"), "p").collect()
+    order = sorted(range(len(ps)), key=lambda i: ps[i])
+    want, low, rank = {}, 1.0, len(ps)
+    last = {ps[i]: k + 1 for k, i in enumerate(order)}
+    for i in reversed(order):
+        low = min(low, ps[i] * len(ps) / last[ps[i]])
+        want[i] = low
+    assert all(r["q_value"] == pytest.approx(want[r["i"]], rel=1e-12, abs=0) for r in got) and len(got) == rank
