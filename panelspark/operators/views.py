@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelspark.functions.periods import decimal_year, period_label
 from panelspark.schema import BEST_KEY, NO_VINTAGE, SOURCE_KEY, PanelLookupError
 
-__all__ = ["annualize", "as_of", "best_source", "current_vintage", "provenance",
-           "source_disagreements", "unit_code", "unit_year_frame", "PanelLookupError"]
+__all__ = ["annualize", "as_of", "best_source", "current_vintage", "known_on", "provenance",
+           "source_disagreements", "unit_code", "unit_year_frame", "validity", "PanelLookupError"]
 
 
 def vintage_order(col: str = "vintage_date") -> Column:
@@ -48,7 +48,26 @@ def best_source(records: DataFrame, source: DataFrame) -> DataFrame:
 
 def as_of(records: DataFrame, date: str | dt.date) -> DataFrame:
     """The panel as known on a date: latest vintage not after it."""
-    return current_vintage(records.where(vintage_order() <= F.lit(date).cast("date")))
+    return current_vintage(records.where(vintage_order() <= F.lit(str(date)).cast("date")))
+
+
+def validity(records: DataFrame) -> DataFrame:
+    """Every fact with the days on which it was the latest: ``valid_from``, and ``valid_to``, the day of its
+    successor's vintage (null while there is none). Facts of one vintage share their interval.
+
+    Stored once per refresh, it answers any as-of date by a filter: see ``known_on``.
+    """
+    day = F.unix_date(vintage_order())
+    later = Window.partitionBy(*SOURCE_KEY).orderBy(F.col("_day").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    return (records.withColumn("_day", day)
+            .withColumns({"valid_from": vintage_order(), "valid_to": F.date_from_unix_date(F.min("_day").over(later))}).drop("_day"))
+
+
+def known_on(intervals: DataFrame, date: str | dt.date) -> DataFrame:
+    """The rows of ``as_of`` from a stored ``validity`` table: a scan filter, no window and no shuffle."""
+    on = F.lit(str(date)).cast("date")      # years below 1000 pass only as text
+    return (intervals.where((F.col("valid_from") <= on) & (F.col("valid_to").isNull() | (F.col("valid_to") > on)))
+            .drop("valid_from", "valid_to"))
 
 
 def provenance(current: DataFrame, source: DataFrame, indicator: DataFrame,

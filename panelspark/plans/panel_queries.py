@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import aggregates as agg, catalog as cat, series as ser, views
 from panelspark.plans import tables
 from panelspark.plans.registry import register
+from panelspark.session import cut_lineage
 
 FACT_COLS = ["geography_id", "indicator_id", "source_id", "year", "quarter", "month",
              "vintage_date", "value"]
@@ -42,14 +43,24 @@ def _(spark, sf_dir):
     return tables.panel(spark, sf_dir, stored_best=False).best.select(FACT_COLS)
 
 
-@register("v3_as_of", f"""
+_AS_OF = f"""
     SELECT {_FACTS} FROM records WHERE coalesce(vintage_date, DATE '0001-01-01') <= DATE '1998-06-30'
     QUALIFY rank() OVER (PARTITION BY geography_id, indicator_id, source_id, year, quarter, month
-                         ORDER BY coalesce(vintage_date, DATE '0001-01-01') DESC) = 1""")
+                         ORDER BY coalesce(vintage_date, DATE '0001-01-01') DESC) = 1"""
+
+
+@register("v3_as_of", _AS_OF)
 def _(spark, sf_dir):
     return views.as_of(tables.records(spark, sf_dir), "1998-06-30").select(FACT_COLS)
 
 
+@register("v3_known_on", _AS_OF)
+def _(spark, sf_dir):
+    """The same day, filtered from every fact's interval of validity, written once for any number of days."""
+    intervals = cut_lineage(views.validity(tables.records(spark, sf_dir)))
+    return views.known_on(intervals, "1998-06-30").select(FACT_COLS)
+
+
 @register("v4_provenance", """
     SELECT unit, indicator, period, year, t, source, value, value_unit, reliability_score, is_best FROM prov""",
     floats="t")

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from panelspark.operators.views import validity
 from panelspark.panel import Panel
 from panelspark.schema import TABLES
 
@@ -38,6 +39,12 @@ def store_best(panel: Panel, path: str) -> Panel:
     return replace(panel, _views={**panel._views, "best": panel.spark.read.parquet(path)})
 
 
+def store_validity(records: DataFrame, path: str) -> DataFrame:
+    """Write every fact's days of validity by indicator and read them back, for ``views.known_on``."""
+    validity(records).write.mode("overwrite").partitionBy("indicator_id").parquet(path)
+    return records.sparkSession.read.parquet(path).select(*records.columns, "valid_from", "valid_to")
+
+
 def store_edges(edges: DataFrame, root: str) -> DataFrame:
     """Write mined edges beside the panel, so that every handle opened on it reads them."""
     path = f"{root.rstrip('/')}/correlation_edge"

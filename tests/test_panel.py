@@ -243,3 +243,34 @@ def test_suggestions_need_no_common_piece(spark):
     pool = spark.createDataFrame([(1, "abcde"), (2, "ab"), (3, "abcdefghijklmnop")], "id int, name string")
     out = {r["asked"]: r["suggestions"] for r in cat.resolve_names(asked, "asked", pool, ["name"]).collect()}
     assert out == {"xbydz": ["abcde"], "qqqqq": []}
+
+
+def test_days_of_validity_equal_as_of(spark, tmp_path):
+    """On every publication date, the days beside it, and before and after all: the stored intervals hold as_of's rows."""
+    import datetime as dt
+    import random
+
+    from panelspark.operators import views
+    from panelspark.sources.tables import store_validity
+
+    rng, day = random.Random(4), dt.date(2020, 1, 1)
+    days = [None] + [day + dt.timedelta(days=rng.randrange(60)) for _ in range(6)]
+    rows = [(i, rng.randrange(2), rng.randrange(2), 1, 2000 + rng.randrange(3), 0, 0, float(rng.randrange(3)), None, rng.choice(days))
+            for i in range(120)]
+    records = spark.createDataFrame(rows, "id long, geography_id int, indicator_id int, source_id int, year int, quarter int, "
+                                          "month int, value double, unit string, vintage_date date")
+    stored = store_validity(records, str(tmp_path / "validity"))
+    asked = sorted({d + dt.timedelta(days=k) for d in days if d for k in (-1, 0, 1)} | {dt.date(1, 1, 1), dt.date(2100, 1, 1)})
+    for on in asked:
+        known, best = views.known_on(stored, on), {}
+        for r in rows:
+            vintage = r[9] or dt.date(1, 1, 1)
+            if vintage <= on:
+                best.setdefault(r[1:7], []).append((vintage, r[0]))
+        want = {i for group in best.values() for v, i in group if v == max(group)[0]}
+        got = [r["id"] for r in known.select("id").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert known.columns == records.columns
+    assert {r["id"] for r in views.as_of(records, asked[5]).collect()} == {r["id"] for r in views.known_on(stored, asked[5]).collect()}
+    plan = views.known_on(stored, day)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "PushedFilters: [IsNotNull(valid_from), LessThanOrEqual" in plan
