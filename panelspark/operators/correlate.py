@@ -170,9 +170,9 @@ def granger(growths: DataFrame, pairs: DataFrame | None = None, min_points: int
 
 def fisher_combine(df: DataFrame, keys: list[str], p: str, name: str) -> DataFrame:
     """Fisher's method over the non-null p-values of each group."""
-    floor = F.greatest(F.col(p), F.lit(P_FLOOR))
-    sums = df.where(F.col(p).isNotNull()).groupBy(*keys).agg(
-        (F.sum(F.ln(floor)) * -2.0).alias("_x"), F.count(F.lit(1)).alias("_k"))
+    # Nulls are passed over inside the aggregate: a filter on p would be pushed below whatever computes p, and copy it there.
+    log_p = F.when(F.col(p).isNotNull(), F.ln(F.greatest(F.col(p), F.lit(P_FLOOR))))
+    sums = df.groupBy(*keys).agg((F.sum(log_p) * -2.0).alias("_x"), F.count(p).alias("_k")).where(F.col("_k") > 0)
     return sums.select(*keys, chi2_even_sf(F.col("_x"), F.col("_k")).alias(name), F.col("_k").alias(f"{name}_n"))
 
 
