@@ -12,8 +12,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from panelspark.panel import Panel
 from panelspark.schema import LEVEL_COUNTRY, LEVEL_REGION
@@ -140,9 +142,18 @@ def geography_bloc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(customers)
 
 
+def catalog(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of given rows whose size Catalyst knows, as it would of a stored one.
+
+    Rows of plain ``createDataFrame`` count as endless: facts would be shuffled by the catalog's few ids to join them.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+    columns = {name: list(values) for name, values in zip(names, zip(*rows))}
+    return spark.createDataFrame(pa.table(columns), StructType.fromDDL(schema))
+
+
 def domain(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, n, f"{n} figures") for i, n in DOMAINS],
-                                 "id int, name string, description string")
+    return catalog(spark, [(i, n, f"{n} figures") for i, n in DOMAINS], "id int, name string, description string")
 
 
 def indicator(spark: SparkSession) -> DataFrame:
@@ -151,15 +162,13 @@ def indicator(spark: SparkSession) -> DataFrame:
              i == 4, "stand-in" if i == 4 else None)
             for i, name in enumerate(PART_TYPES, start=1)]
     rows.append((7, 3, "UNUSED", "%", "type_unused", "annual", "Has no data", False, None))
-    return spark.createDataFrame(
-        rows, "id int, domain_id int, name string, unit string, api_code string, frequency string, "
-              "definition string, is_proxy boolean, proxy_note string")
+    return catalog(spark, rows, "id int, domain_id int, name string, unit string, api_code string, frequency string, "
+                                "definition string, is_proxy boolean, proxy_note string")
 
 
 def source(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(i, f"priority {i}", score, i != CLOSED_SOURCE) for i, score in enumerate(RELIABILITY, start=1)],
-        "id int, name string, reliability_score double, redistributable boolean")
+    return catalog(spark, [(i, f"priority {i}", score, i != CLOSED_SOURCE) for i, score in enumerate(RELIABILITY, start=1)],
+                   "id int, name string, reliability_score double, redistributable boolean")
 
 
 def panel(spark: SparkSession, sf_dir: str, stored_best: bool = True) -> Panel:
