@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelspark.functions.timeline import totals_before
 from panelspark.operators.views import vintage_order
 from panelspark.schema import MAX_YEAR, MIN_YEAR, PERIOD, RECORD_KEY, DataQualityError
+from panelspark.session import dealt
 
 
 def with_sentinels(df: DataFrame) -> DataFrame:
@@ -91,8 +92,11 @@ def dedup_records(records: DataFrame) -> DataFrame:
 
 
 def view_difference(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: size of the first view, rows missing from and extra in the second."""
-    b, a = before.select(*columns), after.select(*columns)
+    """One row: size of the first view, rows missing from and extra in the second.
+
+    Nearly every row is a group of its own, so each view is dealt over all tasks first, by the whole row.
+    """
+    b, a = (dealt(view.select(*columns), *columns) for view in (before, after))
     tagged = (b.withColumn("_side", F.lit(1)).unionByName(a.withColumn("_side", F.lit(-1)))
               .groupBy(*columns).agg(F.sum("_side").alias("_net"),
                                      F.count(F.when(F.col("_side") == 1, 1)).alias("_before")))

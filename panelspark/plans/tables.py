@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 
 from panelspark.panel import Panel
 from panelspark.schema import LEVEL_COUNTRY, LEVEL_REGION
+from panelspark.session import dealt
 
 # Part types of the test tables, and the invented catalog around them.
 PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -69,15 +70,6 @@ def whole_units(amount: str = "amount"):
     return F.expr(f"cast((sum({amount}) + 5000) div 10000 as double)")
 
 
-def dealt(spark: SparkSession, sf_dir: str, rows: DataFrame, *keys: str) -> DataFrame:
-    """The sales in a number of tasks that grows with them, at least the session's; the lines' count is in their footers.
-
-    Adaptive execution packs a task by its shuffled bytes; narrow rows take some fifteen times as much in a hash table.
-    """
-    sold = table(spark, sf_dir, "lineitem").count()
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sold // SALES_PER_TASK)), *keys)
-
-
 def build_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both levels in one pass: each sale counts for its nation and its customer.
 
@@ -96,7 +88,8 @@ def build_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.when(monthly, F.col("_m")).otherwise(0).alias("month"))
     customer = F.struct((F.col("c_custkey") + CUSTOMER_OFFSET).alias("geography_id"),
                         F.lit(0).alias("quarter"), F.lit(0).alias("month"))
-    base = dealt(spark, sf_dir, base, "c_custkey", "indicator_id", "source_id", "year", "vintage_date")
+    sold = table(spark, sf_dir, "lineitem").count()     # from the files' footers
+    base = dealt(base, "c_custkey", "indicator_id", "source_id", "year", "vintage_date", at_least=-(-sold // SALES_PER_TASK))
     both = base.withColumn("_level", F.explode(F.array(nation, customer)))
     return (both.select("_level.*", "indicator_id", "source_id", "year", "vintage_date", "amount")
             .groupBy("geography_id", "indicator_id", "source_id", "year", "quarter", "month",

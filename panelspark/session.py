@@ -33,6 +33,15 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8,
     return spark
 
 
+def dealt(df: DataFrame, *keys: str, at_least: int = 1) -> DataFrame:
+    """The rows dealt by keys over all shuffle partitions of the session, or more of them if asked for.
+
+    Adaptive execution packs shuffles into tasks of 64 MB; narrow rows take some fifteen times as much in a hash table or
+    a sort. A stated number of partitions is kept.
+    """
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), at_least), *keys)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
