@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.functions.stats import pearson_stats
 from panelspark.operators.series import years_clause
+from panelspark.session import dealt
 
 
 def _positive(frame: DataFrame, start: int | None, end: int | None) -> DataFrame:
@@ -15,11 +16,13 @@ def beta_scatter(frame: DataFrame, *, units: DataFrame | None = None, start: int
                  end: int | None = None) -> DataFrame:
     """Per unit and indicator: first and last positive level, annual log growth in %, log initial.
 
-    ``units`` (unit) restricts the field, e.g. to a bloc's members.
+    ``units`` (unit) restricts the field, e.g. to a bloc's members. A series has one row a year, so rows are dealt by
+    it over all tasks: reduced where the frame's averages are taken, it would be a second table of that size there.
     """
     rows = _positive(frame, start, end)
     if units is not None:
         rows = rows.join(units.select("unit").distinct(), "unit", "left_semi")
+    rows = dealt(rows.select("indicator", "unit", "year", "value"), "indicator", "unit")
     span = F.col("final_year") - F.col("initial_year")
     return (rows.groupBy("indicator", "unit")
             .agg(F.min("year").alias("initial_year"), F.min_by("value", "year").alias("initial_value"),
