@@ -10,6 +10,7 @@ from panelspark.functions.ranking import group_median
 from panelspark.operators.views import unit_code
 from panelspark.panel import Panel
 from panelspark.schema import PanelLookupError
+from panelspark.session import dealt
 
 SERIES_KEY = ["unit", "indicator"]
 
@@ -208,8 +209,12 @@ def trends(frame: DataFrame, indicators: Sequence[str], *, start: int | None = N
 
 
 def observation_matrix(df: DataFrame, indicators: Sequence[str]) -> DataFrame:
-    """(unit, year) x indicator, mean. The columns are given, so no extra job lists them."""
-    return (df.groupBy("unit", "year").pivot("indicator", list(indicators))
+    """(unit, year) x indicator, mean. The columns are given, so no extra job lists them.
+
+    A unit's year holds few values, so rows are dealt by it over all tasks: the means and the wide rows need no other shuffle.
+    """
+    return (dealt(df.select("unit", "year", "indicator", "value"), "unit", "year")
+            .groupBy("unit", "year").pivot("indicator", list(indicators))
             .agg(F.avg("value")))
 
 
